@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, exactdup
+from tesserae.llm import chat, exactdup, neardup, vectors
 from tesserae.llm.common import table
 
 
@@ -15,16 +15,27 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(rows)))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), neardup.CONTRACT)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.ORACLE,
     "op6_exact_dedup": exactdup.ORACLE,
+    "op9_embedding_near_dedup": vectors.ORACLE,
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, exactdup, neardup, vectors
+from tesserae.llm import bpe, chat, exactdup, neardup, packing, substrings, vectors
 from tesserae.llm.common import table
 
 
@@ -15,6 +16,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(rows)))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"), neardup.CONTRACT)
 
@@ -23,19 +28,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), texts=False).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.ORACLE,
     "op6_exact_dedup": exactdup.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op9_embedding_near_dedup": vectors.ORACLE,
 }

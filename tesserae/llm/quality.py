@@ -79,7 +79,7 @@ def features(raw: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray,
 
 
 def _example(it_buckets: int):
-    schema = pa.schema([("rank", pa.int64()), ("y", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
+    schema = pa.schema([("all", pa.int32()), ("rank", pa.int64()), ("y", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
 
     def run(it):
         for b in it:
@@ -90,7 +90,7 @@ def _example(it_buckets: int):
                 for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     keys, back = np.unique(index[p:q], return_inverse=True)
                     out.append((keys.astype(np.int32).tobytes(), np.bincount(back, weights=value[p:q], minlength=len(keys)).astype(np.float32).tobytes()))
-                yield pa.RecordBatch.from_arrays([b.column("rank").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (hi - lo), pa.int32()), b.column("rank").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], schema=schema)
 
     return run
 
@@ -139,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     # A fixed pseudo-random order of ids: the sample is the same however rows are dealt out.
     chosen = usable.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id", "y").limit(training.sample)
     # The sample's bound makes it fit to broadcast, so no text is shuffled to meet it.
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "y", "text").mapInArrow(_example(training.buckets), "rank long, y int, index binary, value binary")
-    found = examples.groupBy(F.lit(0)).applyInArrow(_train(training), "weights binary").collect()
+    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "y", "text").mapInArrow(_example(training.buckets), "all int, rank long, y int, index binary, value binary")
+    found = examples.groupBy("all").applyInArrow(_train(training), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(training.buckets + 1, np.float32)
 
 

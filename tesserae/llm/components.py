@@ -30,20 +30,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _stamp(links: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(h)).first())
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node has one link up at most, and none of those linked to has one."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up > 1 OR (up = 1 AND centre = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of a link `(u, v)` that isn't the least of its component."""
     now = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    stamp = _stamp(now)
-    while stamp[0]:
-        then, before = now, stamp
+    while not _is_forest_of_stars(now):
+        then = now
         now = saved(_small_star(_large_star(then)), "stars")
-        stamp = _stamp(now)
         forget(then)
-        if stamp == before:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

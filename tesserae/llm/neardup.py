@@ -203,8 +203,9 @@ def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["set_hi", "set_lo", "n_shingles"]
     classes = filled.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    member = saved(filled.join(classes, key).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("minima")).alias("minima")), "classes")
-    nodes = member.where("minima IS NOT NULL").select("node", "minima").groupBy("node").agg(F.first("minima").alias("minima"))
+    members = filled.join(classes, key)
+    member = saved(members.select("doc_id", "node").distinct(), "classes")
+    nodes = saved(members.where("doc_id = node").groupBy("node").agg(F.first("minima").alias("minima")), "nodes")
     banded = saved(nodes.mapInArrow(_bands(setting), "band int, bucket long, node long"), "bands")
     centres = banded.groupBy("band", "bucket").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "c")
     met = banded.join(centres, ["band", "bucket"]).where("node <> c").groupBy(F.col("node").alias("a"), "c").agg(F.count(F.lit(1)).alias("shared"))
@@ -231,8 +232,8 @@ def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc
     pairs = dealt.join(nodes, "node").groupBy("band", "bucket", "i", "j").applyInArrow(_across(setting), "a long, c long")
     more = saved(rest.union(pairs).distinct().join(best, ["a", "c"], "left_anti"), "proposed")
     second = _confirmed(more, texts, setting)
-    final = components(first.union(second))
-    whole = member.select("doc_id", "node").distinct().join(final, "node", "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "node").alias("component"))
+    final = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
+    whole = member.join(final, "node", "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(whole.groupBy("d").agg(F.min("component").alias("component")), F.col("doc_id") == F.col("d"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

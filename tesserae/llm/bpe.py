@@ -203,7 +203,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, ov
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))
     parts = (
         rows.where(long)
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.posexplode(starts).alias("k", "start"))
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbered before rows multiply
+        .select("row", "doc_id", "text", F.posexplode(starts).alias("k", "start"))
         .select("row", "doc_id", "k", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(size + overlap)).alias("part"))
     )
     dealt = parts.repartition("row", "k").mapInArrow(_boundaries(path, pattern), "row long, doc_id long, k int, start int, own string, lengths binary")

@@ -7,13 +7,12 @@
    the minimum is partially aggregated and the join back to the members can be split, so a
    bucket of any size is spread.
 3. Proposed links are checked on the minima (their agreement estimates the similarity) and then
-   confirmed on the full sets. First each class is compared with the centre it shares most
-   bands with; the confirmed links' components make most other proposals superfluous, and only
-   those between different components are confirmed too.
-4. Buckets that still hold several components are taken up again: their members are compared
-   pairwise, in blocks, on the minima, and pairs of different components that agree enough
-   are confirmed on the full sets. So no link between members of a bucket is missed because
-   neither was its centre.
+   confirmed on the full sets: each class is compared with the centre it shares most bands with.
+   The confirmed links' components make most other proposals superfluous.
+4. Buckets that still hold several components are taken up again: each member outside the
+   bucket's largest component is compared with all members, in blocks dealt to different tasks,
+   on the full sets. So no link between members of a bucket is missed because neither was its
+   centre, and only links that join components leave a task.
 
 With 24 bands of 6 minima two sets of similarity 0.85 share no band with a chance of 1.2e-5
 (0.80 in the wider setting of 25 bands of 5 minima: 5e-5).
@@ -175,26 +174,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFram
 
 
 def _across(setting: Setting):
-    """Pairs of different components in one bucket, or between two blocks of it, that agree."""
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64())])
-    least = (setting.percent / 100 - setting.slack) * setting.hashes
+    """Links that join components of one bucket: strays of one block against members of another.
+
+    All sizes of intersections of two blocks come from products of their incidence matrices;
+    only links that connect components not yet connected here leave the task."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        node, comp, block = (np.asarray(t.column(k)) for k in ("node", "component", "block"))
-        sig = buffers(t.column("minima"))[0].view(np.uint32).reshape(len(node), -1)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, c = [], []
-        for k in left.tolist():
-            others = right[(comp[right] != comp[k]) & ((node[right] < node[k]) | (i != j))]
-            near = others[(sig[others] == sig[k]).sum(axis=1) >= least]
-            a.append(np.maximum(node[near], node[k]))
-            c.append(np.minimum(node[near], node[k]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "c": np.concatenate(c) if c else np.empty(0, np.int64)}, schema=schema)
+        node, comp, stray = (np.asarray(t.column(k)) for k in ("node", "component", "stray"))
+        raw, at = buffers(t.column("text"))
+        sets = [s for _, _, part, offsets in pieces(raw, at) for s in shingle_sets(part, offsets, setting.shingle)]
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        size = np.array([len(s) for s in sets])
+        both = common(sets, left, right)
+        good = (both > 0) & (100 * both >= setting.percent * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        u, v = [], []
+        for p, q in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+            r, s = root(int(comp[left[p]])), root(int(comp[right[q]]))
+            if r != s:
+                up[max(r, s)] = min(r, s)
+                u.append(int(node[left[p]]))
+                v.append(int(node[right[q]]))
+        return pa.table({"u": u, "v": v}, schema=schema)
 
     return run
 
 
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, slab: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets in `left` with those in `right`."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return out
+    every = np.concatenate([sets[k] for k in (*left.tolist(), *right.tolist())])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(sets[k]) for k in (*left.tolist(), *right.tolist())])
+    keys, column, n = np.unique(every, return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(shared.sum()), slab):
+        part = slice(*np.searchsorted(column, [lo, lo + slab]))
+        m = np.zeros((len(left) + len(right), slab), np.float32)
+        m[row[part], column[part] - lo] = 1
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
+
+
 def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least id reachable by links), kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -218,20 +252,18 @@ def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc
     first = saved(_confirmed(best, texts, setting), "links")
     label = components(first)
 
-    def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(label.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
-
-    rest = agreed.join(best, ["a", "c"], "left_anti").select("a", "c")
-    rest = labelled(labelled(rest, "a", "p"), "c", "q").where("p <> q").select("a", "c")
-    # Buckets that still hold several components, with their members' minima.
+    # Buckets that still hold several components: the strays outside the largest against all.
     many = banded.join(centres, ["band", "bucket"]).select("band", "bucket", "node")
-    many = labelled(many, "node", "component")
-    open_buckets = many.groupBy("band", "bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q").select("band", "bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    left = many.join(open_buckets, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "bucket", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = dealt.join(nodes, "node").groupBy("band", "bucket", "i", "j").applyInArrow(_across(setting), "a long, c long")
-    more = saved(rest.union(pairs).distinct().join(best, ["a", "c"], "left_anti"), "proposed")
-    second = _confirmed(more, texts, setting)
+    many = many.join(label, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
+    held = many.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    ask = held.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("body"), F.sum("n").alias("m"), F.max("n").alias("top"), F.count(F.lit(1)).alias("parts"))
+    ask = ask.where("parts > 1").select("band", "bucket", "body", F.ceil(F.col("m") / _BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top")) / _BLOCK).cast("int").alias("strays"))
+    left = many.join(ask, ["band", "bucket"]).withColumn("h", F.xxhash64("node"))
+    key = ["band", "bucket", "node", "component"]
+    strays = left.where("component <> body").select(*key, F.pmod("h", "strays").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("stray"))
+    others = left.select(*key, F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.pmod("h", "blocks").cast("int").alias("j"), F.lit(False).alias("stray"))
+    dealt = strays.unionByName(others).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    second = dealt.select(*key, "i", "j", "stray", "text").groupBy("band", "bucket", "i", "j").applyInArrow(_across(setting), "u long, v long")
     final = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
     whole = member.join(final, "node", "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(whole.groupBy("d").agg(F.min("component").alias("component")), F.col("doc_id") == F.col("d"), "left")

@@ -1 +1,57 @@
-"""Queries."""
+"""Queries of ingest: candidates in order, signatures known already, what remains, streams."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.functions import text
+from tesserae.plans.registry import Tables, query
+from tesserae.sources import files
+from tesserae.streaming import ingest
+
+
+@query("K05", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END DESC, o_orderkey % 50 DESC, lower(o_orderpriority), o_orderkey LIMIT 100")
+def sorted_candidates(t: Tables) -> DataFrame:
+    rank = F.coalesce(F.element_at(F.create_map(F.lit("1"), F.lit(3), F.lit("2"), F.lit(2), F.lit("3"), F.lit(1)), F.substring("o_orderpriority", 1, 1)), F.lit(0))
+    return t.orders.select("o_orderkey", "o_orderpriority").orderBy(rank.desc(), (F.col("o_orderkey") % 50).desc(), F.lower("o_orderpriority"), "o_orderkey").limit(100)
+
+
+@query("T05 J20 S17", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
+def remaining_pages(t: Tables) -> DataFrame:
+    return ingest.remaining(t.pages.select("page_id"), t.pages.where("page_id % 3 = 0"), "page_id")
+
+
+@query("T02 T03 S13 F14", "SELECT count(DISTINCT lower(regexp_extract(url, '//([^/?#]*)', 1))) AS signatures FROM pages")
+def ledger_exactly_once(t: Tables) -> DataFrame:
+    """Pages streamed in twice: the ledger has each host once."""
+    root = _scratch(t)
+    source, out, ledger = f"{root}/in", f"{root}/out", f"{root}/ledger"
+    t.pages.select("page_id", "url").write.parquet(source)
+    host = F.lower(F.regexp_extract("url", "//([^/?#]*)", 1))
+    schema = t.spark.read.parquet(source).schema
+    for _run in range(2):
+        ingest.ingest_once(ingest.arrivals(t.spark, source, schema), host, out, ledger, f"{root}/checkpoint{_run}").awaitTermination()
+    return t.spark.read.parquet(ledger).agg(F.countDistinct("signature").alias("signatures"))
+
+
+def _scratch(t: Tables) -> str:
+    """A new folder that all executors share: below the session's checkpoint folder where it names one."""
+    import uuid
+
+    named = t.spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named}/tesserae/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tesserae-stream-") + "/s"
+
+
+@query("S18", None)
+def markdown_sections(t: Tables) -> DataFrame:
+    """Sections and tables of Markdown made from documents."""
+    md = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n## "), "lang", F.lit("\n| a | b |\n|---|---|\n| 1 | 2 |\n"))
+    return t.documents.select("doc_id", F.size(files.markdown_pages(md)).alias("sections"), F.element_at(files.markdown_tables(md), -1).alias("last_table"))
+
+
+@query("F15 F22", "SELECT doc_id, 'na_' || lang || '_' || substr(sha1(source || doc_id), 1, 10) || '.txt' AS name FROM documents")
+def stable_names(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.concat(F.lit("na_"), text.slug(F.col("lang")), F.lit("_"), text.fingerprint(F.concat("source", "doc_id")), F.lit(".txt")).alias("name"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +35,3 @@ def query(operators: str, sql: str | None = None):
 
     return register
 
-
-for _name in ("retrieval", "catalog", "joins", "statistics", "texts", "graphs", "prediction", "evaluation", "sessions", "images", "ingest"):
-    importlib.import_module(f"tesserae.plans.{_name}")

@@ -45,7 +45,7 @@ _FRAME = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset", "searc
 _WORDS = "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 _FRAME_NAME = re.compile(r"(?:^|[^a-z])(?:" + "|".join(_WORDS) + r")(?:$|[^a-z])")
 _FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
-_MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article|article-?body|entry-?content|post-?content|post-?body|main-?content|story-?body)(?:$|[^a-z])")
+_MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article-?body|article-?content|entry-?content|post-?content|post-?body|main-?content|story-?body)(?:$|[^a-z])")
 OPEN, MAIN, FRAME = 0, 1, 2
 
 
@@ -64,14 +64,13 @@ def _role(tag: str, attributes: str, inside: int) -> int:
             return FRAME
     if role in _FRAME_ROLES:
         return FRAME
-    if tag in ("article", "main") or role in ("main", "article"):
-        # An article inside comments is a reader's; that case has left above.
-        return FRAME if names and _FRAME_NAME.search(names) and not _MAIN_NAME.search(names) else MAIN
     if tag in ("body", "html"):
         return inside
     if names and _MAIN_NAME.search(names):
         return MAIN
-    return FRAME if names and _FRAME_NAME.search(names) else inside
+    if names and _FRAME_NAME.search(names):  # also an article that is a comment or an advert
+        return FRAME
+    return MAIN if tag in ("article", "main") or role in ("main", "article") else inside
 
 
 def blocks(page: str) -> tuple[list[str], list[int]]:

@@ -264,3 +264,16 @@ def apportion(t: Tables) -> DataFrame:
     rest = 100 - F.sum("base").over(Window.partitionBy(F.lit(1)))
     rn = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(F.col("share") - F.col("base"), 9).desc(), "g"))
     return f.select("g", "n", (F.col("base") + F.when(rn <= rest, 1).otherwise(0)).cast("long").alias("seats"))
+
+
+@query("K10", "SELECT l_suppkey, first.l_orderkey AS l_orderkey, first.l_linenumber AS l_linenumber FROM (SELECT l_suppkey, max({'a': l_discount, 'b': -l_tax, 'c': l_quantity, 'l_orderkey': -l_orderkey, 'l_linenumber': -l_linenumber}) AS m FROM lineitem GROUP BY 1) x, LATERAL (SELECT -m.l_orderkey AS l_orderkey, -m.l_linenumber AS l_linenumber) first")
+def weighted_ties(t: Tables) -> DataFrame:
+    """The best row of each group by several measures in turn, as the largest struct."""
+    best = F.max(F.struct("l_discount", (-F.col("l_tax")).alias("t"), "l_quantity", (-F.col("l_orderkey")).alias("o"), (-F.col("l_linenumber")).alias("n"))).alias("m")
+    return t.lineitem.groupBy("l_suppkey").agg(best).select("l_suppkey", (-F.col("m.o")).alias("l_orderkey"), (-F.col("m.n")).alias("l_linenumber"))
+
+
+@query("S02 S01", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def sql_frames(t: Tables) -> DataFrame:
+    """SQL text over named tables, its frames bound by name without global views."""
+    return t.spark.sql("SELECT r_name, count(*) AS n FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY r_name", customer=t.customer, nation=t.nation, region=t.region)

@@ -55,3 +55,20 @@ def markdown_sections(t: Tables) -> DataFrame:
 @query("F15 F22", "SELECT doc_id, 'na_' || lang || '_' || substr(sha1(source || doc_id), 1, 10) || '.txt' AS name FROM documents")
 def stable_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.lit("na_"), text.slug(F.col("lang")), F.lit("_"), text.fingerprint(F.concat("source", "doc_id")), F.lit(".txt")).alias("name"))
+
+
+@query("S03 S04 S05 S06 S07 S08 S12 S13 S14 S16 S20", "SELECT 'csv' AS source, count(*) AS n FROM supplier UNION ALL SELECT 'ledger', count(*) FROM supplier UNION ALL SELECT 'items', count(*) FROM nation UNION ALL SELECT 'table', count(*) FROM nation")
+def file_round_trips(t: Tables) -> DataFrame:
+    """Rows written and read back through each kind of file."""
+    root = _scratch(t)
+    rows = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), "s_name")
+    files.write_csv(rows, f"{root}/csv")
+    files.append_ledger(rows.select(F.col("id").alias("signature")), f"{root}/ledger")
+    t.nation.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_nationkey").alias("id"))).alias("items"))).alias("value")).write.text(f"{root}/items")  # 25 rows
+    files.replace_table(t.nation, f"{root}/table")
+    read = {
+        "csv": files.read_csv(t.spark, f"{root}/csv", "id string, s_name string"), "ledger": files.read_ledger(t.spark, f"{root}/ledger", "signature string"),
+        "items": files.read_items(t.spark, f"{root}/items", "id int"), "table": t.spark.read.parquet(f"{root}/table"),
+    }
+    out = [df.agg(F.lit(k).alias("source"), F.count(F.lit(1)).alias("n")) for k, df in read.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

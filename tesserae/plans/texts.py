@@ -127,3 +127,46 @@ def fact_links(t: Tables) -> DataFrame:
     """Facts with inferred relation, canonical direction and confidence."""
     s = t.part.select("p_partkey", F.concat(F.lit("process:"), "p_brand").alias("source"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("morphology:"), "p_type")).otherwise(F.concat(F.lit("performance:"), "p_type")).alias("target"), F.when(F.col("p_size") % 3 == 0, "positive").when(F.col("p_size") % 3 == 1, "inhibit").otherwise("unclear").alias("way"), F.concat("p_name", F.lit(" at "), "p_size", F.lit(" nm")).alias("sentence"))
     return s.select("p_partkey", *G.fact_to_link(F.col("source"), F.col("target"), F.col("way")), G.confidence_of(F.col("sentence"), F.lit(0.1), F.col("p_partkey") % 2 == 0, F.lit(True), F.lit(False)).alias("confidence"))
+
+
+@query("F12 F05 F06 F07", None)
+def parsed_queries(t: Tables) -> DataFrame:
+    """Questions as entities, direction, numeric conditions and wanted relations, for a table of questions."""
+    asked = t.part.select("p_partkey", F.concat(F.lit("Does a temperature above "), 600 + F.col("p_size"), F.when(F.col("p_size") % 2 == 0, " increase alignment").otherwise(" reduce conductivity"), F.lit(" by diffusion?")).alias("q"))
+    found = {k: text.factors(F.col("q"), v) for k, v in (("process", G.PROCESS), ("morphology", G.MORPHOLOGY), ("performance", G.PERFORMANCE), ("mechanism", G.MECHANISM))}
+    parsed = asked.select("p_partkey", *[F.array_join(c, ",").alias(k) for k, c in found.items()], text.direction(F.col("q"), G.INCREASE, G.DECREASE).alias("direction"), F.get(text.conditions(F.col("q")), 0)["lo"].alias("least"))
+    target = F.when(F.col("morphology") != "", "morphology").when(F.col("performance") != "", "performance").otherwise("mechanism")
+    return parsed.withColumn("relation", F.concat(F.when(F.col("process") != "", "process_").otherwise("mechanism_"), target))
+
+
+# Statements of one thing acting on another: name, pattern with source and target, source bonus. Fixed patterns.
+STATEMENTS = [
+    ("nominalization", r"(?i)\b(?:increase|rise) in (\w+) (?:leads to|causes) (?:an? )?(?:increase|rise|drop) in (\w+)", 0.15),
+    ("passive", r"(?i)\b(\w+) is (?:improved|increased|reduced|affected) by (\w+)", 0.10),
+    ("negation", r"(?i)\b(\w+) does not (?:affect|change|improve) (\w+)", 0.10),
+    ("plain", r"(?i)\b(\w+) (?:improves|increases|reduces|affects) (\w+(?: and \w+)?)", 0.0),
+]
+
+
+def stated_facts(sentences: DataFrame, key: str, column: str) -> DataFrame:
+    """Facts of sentences by patterns; targets joined by `and` give a fact each."""
+    parts = None
+    for name, pattern, bonus in STATEMENTS:
+        a, b = (F.regexp_extract(column, pattern, i) for i in (1, 2))
+        source, target = (b, a) if name == "passive" else (a, b)
+        s = sentences.where(F.col(column).rlike(pattern)).select(key, F.col(column).alias("s"), F.lit(name).alias("pattern"), F.lit(bonus).alias("bonus"), F.lower(source).alias("source"), F.explode(F.split(F.lower(target), " and ")).alias("target"))
+        parts = s if parts is None else parts.unionByName(s)
+    good = parts.where((F.col("source") != F.col("target")) & (F.length("source") >= 3) & (F.length("target") >= 3) & ~F.col("target").rlike(r"^\d+$"))
+    score = G.confidence_of(F.col("s"), F.col("bonus"), F.size(text.conditions(F.col("s"))) > 0, F.lit(False), F.col("pattern") == "negation")
+    return good.select(key, "pattern", "source", "target", (F.col("pattern") == "negation").alias("negated"), F.round(score, 6).alias("confidence"))
+
+
+@query("U03 U04 F10 F11", """
+WITH s AS (SELECT p_partkey, p_size, 'brand' || p_size AS w FROM part)
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'nominalization' WHEN 1 THEN 'passive' WHEN 2 THEN 'negation' ELSE 'plain' END AS pattern, w AS source, tg AS target, p_size % 4 = 2 AS negated,
+ CAST(CASE p_size % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 ELSE 0.7 END AS DOUBLE) AS confidence
+FROM s, (SELECT unnest(['density', 'alignment', 'height']) AS tg) WHERE CASE p_size % 4 WHEN 0 THEN tg = 'density' WHEN 1 THEN tg = 'alignment' WHEN 2 THEN tg = 'height' ELSE tg IN ('density', 'height') END""")
+def rule_facts(t: Tables) -> DataFrame:
+    w = F.concat(F.lit("brand"), F.col("p_size"))
+    said = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Increase in "), w, F.lit(" leads to an increase in density"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("alignment is improved by "), w)).when(F.col("p_size") % 4 == 2, F.concat(w, F.lit(" does not affect height at 10 nm"))).otherwise(F.concat(w, F.lit(" improves density and height")))
+    return stated_facts(t.part.select("p_partkey", said.alias("said")), "p_partkey", "said")

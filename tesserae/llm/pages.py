@@ -190,32 +190,33 @@ def _read(it):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "page_id", "url")), pa.array(hosts), pa.array([t for t, _ in found], _READ.field("texts").type), pa.array([bytes(r) for _, r in found], pa.binary())], schema=_READ)
 
 
-def _undecided(texts: list[str], roles: bytes) -> list[int]:
-    """Blocks whose repetition matters: open ones, in pages without main text."""
+def _undecided(texts: list[str], roles: bytes, structure: bool) -> list[int]:
+    """Blocks whose repetition matters: open ones, in pages without main text; all, without structure."""
+    if not structure:
+        return list(range(len(texts)))
     return [] if MAIN in roles else [k for k, r in enumerate(roles) if r == OPEN]
 
 
-def _streams(b: pa.RecordBatch):
-    """Tokens of the undecided blocks of a batch's pages: hashes, page row, block."""
-    said, row, block = [], [], []
+def _streams(b: pa.RecordBatch, structure: bool):
+    """Tokens of the undecided blocks of a batch's pages: hashes and page rows."""
+    said, row = [], []
     for k, (texts, roles) in enumerate(zip(b.column("texts").to_pylist(), b.column("roles").to_pylist(), strict=True)):
-        for j in _undecided(texts, roles):
+        for j in _undecided(texts, roles, structure):
             said.append(texts[j])
             row.append(k)
-            block.append(j)
     raw, at = buffers(pa.array(said, pa.string()))
     token, first = words.hashes(raw, at, fold=False)
     n = np.diff(first)
-    return token, np.repeat(np.array(row, np.int64), n), np.repeat(np.array(block, np.int64), n)
+    return token, np.repeat(np.array(row, np.int64), n)
 
 
 _REPEAT = pa.schema([("host", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
-def _suffixes(run: int):
+def _suffixes(run: int, structure: bool):
     def work(it):
         for b in it:
-            token, row, _ = _streams(b)
+            token, row = _streams(b, structure)
             if len(token) < run:
                 continue
             host, page = np.asarray(b.column("host"))[row], np.asarray(b.column("page"))[row]
@@ -236,12 +237,12 @@ def _suffixes(run: int):
     return work
 
 
-def _places(run: int):
+def _places(run: int, structure: bool):
     schema = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
     def work(it):
         for b in it:
-            token, row, _ = _streams(b)
+            token, row = _streams(b, structure)
             if len(token) < run:
                 continue
             key, ids, host = words.rolling(token, run), np.asarray(b.column("row")), np.asarray(b.column("host"))
@@ -252,18 +253,18 @@ def _places(run: int):
     return work
 
 
-def _keep(run: int):
+def _keep(run: int, structure: bool):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def work(it):
         for b in it:
             out = []
             for texts, roles, places in zip(*(b.column(c).to_pylist() for c in ("texts", "roles", "places")), strict=True):
-                if MAIN in roles:
+                if structure and MAIN in roles:
                     out.append("\n".join(t for t, r in zip(texts, roles, strict=True) if r == MAIN))
                     continue
                 kept, at = [], 0
-                chosen = _undecided(texts, roles)
+                chosen = _undecided(texts, roles, structure)
                 raw, offsets = buffers(pa.array([texts[j] for j in chosen], pa.string()))
                 first = words.spans(raw, offsets)[2]
                 covered = np.zeros(int(first[-1]) + 1, bool)
@@ -278,18 +279,19 @@ def _keep(run: int):
     return work
 
 
-def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """One row a page: page_id, url, text."""
+def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFrame:
+    """One row a page: page_id, url, text. Without `structure` roles count for nothing: the suffix
+    arrays run over the whole token streams, what a host repeats goes and unique runs stay."""
     given = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = saved(given.mapInArrow(_read, "row long, page_id long, url string, host long, texts array<string>, roles binary"), "blocks")
     paged = read.withColumn("page", F.coalesce("page_id", -F.col("row") - 1)).select("row", "host", "page", "texts", "roles")
     repeats = (
-        paged.mapInArrow(_suffixes(run), "host long, key long, low long, high long")
+        paged.mapInArrow(_suffixes(run, structure), "host long, key long, low long, high long")
         .groupBy("host", "key")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low <> high")
         .select("host", "key")
     )
-    places = paged.mapInArrow(_places(run), "row long, host long, key long, at int").join(repeats, ["host", "key"], "left_semi")
+    places = paged.mapInArrow(_places(run, structure), "row long, host long, key long, at int").join(repeats, ["host", "key"], "left_semi")
     places = places.groupBy("row").agg(F.collect_list("at").alias("places"))
-    return read.join(places, "row", "left").select("page_id", "url", "texts", "roles", "places").mapInArrow(_keep(run), "page_id long, url string, text string")
+    return read.join(places, "row", "left").select("page_id", "url", "texts", "roles", "places").mapInArrow(_keep(run, structure), "page_id long, url string, text string")

@@ -96,6 +96,9 @@ def test_blocks_of_a_page():
     page = "<!DOCTYPE html><head><title>t</title><script>var t='</p>';</script></head><body><header>top</header><nav><ul><li>a<li>b</ul></nav><!-- <p>no</p> --><div class='cookie-notice'>c</div><main><h1>Head &amp; tail</h1><p>One\n two<br>three<p>&#233;&nbsp;x &lt;b&gt;<aside>side</aside><section id=comments><article>reader</article></section><form><input>f</form></main><footer>&copy;</footer>"
     texts, roles = pages.blocks(page)
     assert [t for t, r in zip(texts, roles) if r == pages.MAIN] == ["Head & tail", "One two three", "é x <b>"]
+    nested = "<article class='post'><div class='article-comments'><p>c</p></div><div class='article-body'><p>a</p><p class=ad>ad</p></div><p>b <span class=ad>x</span></p></article><p>after</p>"
+    assert [t for t, r in zip(*pages.blocks(nested)) if r == pages.MAIN] == ["a", "b"]
+    assert [t for t, r in zip(*pages.blocks("<main><article class='comment'><p>r</p></article><p>t</p></main>")) if r == pages.MAIN] == ["t"]
     assert pages.blocks("") == ([], []) and pages.blocks("just text") == (["just text"], [pages.OPEN])
 
 
@@ -129,6 +132,16 @@ def test_host_repeats_go_and_unique_runs_stay(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_suffix_arrays_alone(spark):
+    rng = random.Random(4)
+    own = {k: prose(rng, 25, 9000) for k in range(12)}
+    menu, foot = prose(rng, 12, 9000), prose(rng, 9, 9000)
+    rows = [(k, "http://a.org/x", f"<nav><p>{menu}</p></nav><article><p>{t}</p><p>{foot}</p></article>") for k, t in own.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in pages.extract(df, structure=False).collect()} == own
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"{t}\n{foot}" for k, t in own.items()}
+
+
 # ---- packing and encoding ------------------------------------------------------------------
 
 

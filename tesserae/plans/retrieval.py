@@ -50,7 +50,8 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 
 @query("E01 E02 E03 E04 K04", BM25_SQL + """,
-rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), substring(trim(regexp_replace(b.text, '\\s+', ' ', 'g')), 1, 60))),
+item AS (SELECT item_id AS qid, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+rel AS (SELECT qid, doc_id FROM item JOIN documents d ON len(w) >= 8 AND contains(' ' || trim(regexp_replace(d.text, '\\s+', ' ', 'g')) || ' ', ' ' || array_to_string(w[1:8], ' ') || ' ')),
 hit AS (SELECT r.qid, r.rank, r.id // 100000 AS doc_id FROM ranked r WHERE rank <= 10),
 first AS (SELECT qid, doc_id, min(rank) AS rank FROM hit GROUP BY ALL),
 marked AS (SELECT f.qid, f.rank, rel.doc_id IS NOT NULL AS good FROM first f LEFT JOIN rel USING (qid, doc_id)),
@@ -67,13 +68,13 @@ def ranking_metrics(t: Tables) -> DataFrame:
 
 
 def relevant(t: Tables) -> DataFrame:
-    """(qid, doc_id): documents with the first 60 characters of an item. Both sides meet on a
-    hash of their first 20 characters at every place, so no pair is formed without need."""
-    clean = t.documents.select("doc_id", text.squeeze(F.col("text")).alias("d"))
-    items = t.benchmark.select(F.col("item_id").alias("qid"), F.substring(text.squeeze(F.col("text")), 1, 60).alias("q")).withColumn("h", F.xxhash64(F.substring("q", 1, 20)))
-    places = clean.where(F.length("d") >= 20).select("doc_id", "d", F.explode(F.sequence(F.lit(1), F.length("d") - 19)).alias("p"))
-    at = places.select("doc_id", F.substring("d", F.col("p"), F.lit(60)).alias("s"), F.xxhash64(F.substring("d", F.col("p"), F.lit(20))).alias("h"))
-    return at.join(items, "h").where(F.col("s").startswith(F.col("q"))).select("qid", "doc_id").distinct()
+    """(qid, doc_id): documents with an item's first eight words in a row. Both sides meet on a hash
+    of runs of eight words, so no pair is formed without need."""
+    run = lambda w, p: F.array_join(F.slice(w, p, 8), " ")
+    items = t.benchmark.select(F.col("item_id").alias("qid"), F.split(text.squeeze(F.col("text")), " ").alias("w")).where(F.size("w") >= 8).select("qid", run(F.col("w"), F.lit(1)).alias("q"))
+    words = t.documents.select("doc_id", F.split(text.squeeze(F.col("text")), " ").alias("w")).where(F.size("w") >= 8)
+    runs = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda p: run(F.col("w"), p))).alias("s"))
+    return runs.withColumn("h", F.xxhash64("s")).join(items.withColumn("h", F.xxhash64("q")), "h").where("s = q").select("qid", "doc_id").distinct()
 
 
 def metrics(ranked: DataFrame, good: DataFrame, k: int) -> DataFrame:

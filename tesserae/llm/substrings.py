@@ -31,11 +31,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import blob, buffers, fan, pieces, saved
+from tesserae.llm.common import buffers, fan, pieces, saved
 
 SIZE = 20
 ANCHOR = 6
@@ -212,37 +213,55 @@ def _settle(t: pa.Table) -> pa.Table:
     )
 
 
+def _left(b: pa.RecordBatch, size: int, texts: bool):
+    """(words, removed words, what is kept) of runs of rows: the text without the removed words, as
+    given where there are none, or, if not `texts`, the digest of the kept words."""
+    raw, at = buffers(b.column("text"))
+    places, starts = _lists(b.column("places"))
+    for lo, hi, part, offsets in pieces(raw, at):
+        begin, end, first = words.spans(part, offsets)
+        row = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+        a = first[row] + places["at"][starts[lo] : starts[hi]]
+        z = a + places["n"][starts[lo] : starts[hi]] + size - 1
+        depth = np.bincount(a, minlength=len(begin) + 1) - np.bincount(z, minlength=len(begin) + 1)
+        gone = np.cumsum(depth)[:-1] > 0
+        n = np.diff(first)
+        lost = np.where(n > 0, np.add.reduceat(np.append(gone, False), first[:-1], dtype=np.int64), 0)
+        data, kept = part.tobytes(), []
+        for k in range(hi - lo):
+            if texts and not lost[k]:
+                kept.append(data[offsets[k] : offsets[k + 1]].decode())
+                continue
+            own = slice(first[k], first[k + 1])
+            stay = ~gone[own]
+            said = b" ".join([data[p:q] for p, q in zip(begin[own][stay].tolist(), end[own][stay].tolist(), strict=True)])
+            kept.append(said.decode() if texts else hashlib.sha256(said).hexdigest())
+        yield lo, hi, n, lost, kept
+
+
 def _removed(size: int, texts: bool):
-    """Words left of each text, or their digest."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(it):
         for b in it:
-            raw, at = buffers(b.column("text"))
-            places, starts = _lists(b.column("places"))
-            ids = b.column("doc_id")
-            for lo, hi, part, offsets in pieces(raw, at):
-                begin, end, first = words.spans(part, offsets)
-                row = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
-                a = first[row] + places["at"][starts[lo] : starts[hi]]
-                z = a + places["n"][starts[lo] : starts[hi]] + size - 1
-                depth = np.zeros(len(begin) + 1, np.int64)
-                np.add.at(depth, a, 1)
-                np.add.at(depth, z, -1)
-                gone = np.cumsum(depth)[:-1] > 0
-                n = np.diff(first)
-                lost = np.add.reduceat(np.append(gone, False), first[:-1]) if len(n) else n
-                lost = np.where(n > 0, lost, 0)
-                data, kept = part.tobytes(), []
-                for k in range(hi - lo):
-                    if texts and not lost[k]:
-                        kept.append(data[offsets[k] : offsets[k + 1]].decode())
-                        continue
-                    own = slice(first[k], first[k + 1])
-                    stay = ~gone[own]
-                    said = b" ".join([data[p:q] for p, q in zip(begin[own][stay].tolist(), end[own][stay].tolist(), strict=True)])
-                    kept.append(said.decode() if texts else hashlib.sha256(said).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+            for lo, hi, n, lost, kept in _left(b, size, texts):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+
+    return run
+
+
+def _rewritten(size: int, columns: list[str]):
+    """Rows as they came, with `text` and `n_chars` of what is left."""
+
+    def run(it):
+        for b in it:
+            given = b.column("text").is_valid()
+            for lo, hi, _, _, kept in _left(b, size, True):
+                out = {c: b.column(c).slice(lo, hi - lo) for c in columns}
+                out["text"] = pa.array(kept, pa.string(), mask=~np.asarray(given.slice(lo, hi - lo)))
+                if "n_chars" in out:
+                    out["n_chars"] = pc.cast(pc.utf8_length(out["text"]), b.column("n_chars").type)
+                yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
     return run
 
@@ -270,22 +289,25 @@ def _settle_windows(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": out["doc"], "at": out["at"].astype(np.int32), "n": (out["n"] & ~_REPEATS).astype(np.int32), "open": np.zeros(len(out), bool)}, schema=_PLACE)
 
 
+def _placed(docs: DataFrame, size: int) -> DataFrame:
+    """Every row with the repeated places of its id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    places = repeated_places(rows, size).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    return docs.join(places.select(F.col("doc_id").alias("_id"), "places"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+
+
 def dedup_substrings(docs: DataFrame, size: int = SIZE, texts: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, and `kept`: the text without the removed
     words (as given if nothing was removed, else words joined by one space), or, if not `texts`,
     the SHA-256 of the kept words joined by one space."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = repeated_places(rows, size).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
-    return rows.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_removed(size, texts), "doc_id long, n_words long, n_removed long, kept string")
+    return _placed(rows, size).mapInArrow(_removed(size, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """`docs` with the repeated words gone from `text`, and `n_chars` as it then is."""
-    left = dedup_substrings(docs, size).select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"])
-    out = docs.join(left, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.when(F.col("text").isNotNull(), F.col("kept")))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    """`docs` with the repeated words gone from `text`, and `n_chars` as it then is; texts meet
+    their places in one join and are rewritten in the same stage."""
+    return _placed(docs, size).mapInArrow(_rewritten(size, docs.columns), docs.schema)
 
 
 def brute_force(texts: dict[int, str | None], size: int) -> dict[int, tuple[int, int, str]]:

@@ -89,7 +89,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(raw: np.ndarray, at: np.ndarray, limit: int = 2 << 20):
+def pieces(raw: np.ndarray, at: np.ndarray, limit: int = 1 << 20):
     """Runs of whole rows of about `limit` bytes: (first row, end row, bytes, offsets)."""
     lo, n = 0, len(at) - 1
     while lo < n:

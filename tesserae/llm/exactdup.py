@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import blob, fan, saved
 
+_ROWS = 500  # texts held as Python objects at a time
 _MARK = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
 _PART = pa.schema([("part", pa.int32()), ("slots", pa.int32()), ("filter", pa.binary())])
 _FOUND = pa.schema([("fp", pa.int64()), ("count", pa.int64())])
@@ -93,8 +94,9 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
 
 def _mark(it):
     for b in it:
-        texts = _norms(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_fingerprints(texts).view(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], schema=_MARK)
+        for lo in range(0, b.num_rows, _ROWS):
+            texts = _norms(b.column("text").slice(lo, _ROWS))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, _ROWS), pa.array(_fingerprints(texts).view(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], schema=_MARK)
 
 
 def _filters(parts: int):
@@ -120,8 +122,9 @@ def _merge(t: pa.Table) -> pa.Table:
 
 def _texts(it):
     for b in it:
-        texts = _norms(b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(texts).view(np.int64)), b.column("doc_id"), pa.array(texts, pa.binary())], schema=_TEXT)
+        for lo in range(0, b.num_rows, _ROWS):
+            texts = _norms(b.column("text").slice(lo, _ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(texts).view(np.int64)), b.column("doc_id").slice(lo, _ROWS), pa.array(texts, pa.binary())], schema=_TEXT)
 
 
 def repeated_fingerprints(marked: DataFrame, parts: int) -> DataFrame:

@@ -33,12 +33,13 @@ _CLASS[128:] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
 _SCALE = 4.0
+_PIECE = 1 << 20  # bytes of text looked at in one go
 
 
 @dataclass(frozen=True)
 class Training:
     buckets: int = 1 << 18
-    sample: int = 6_000  # labelled rows to learn from, at most
+    sample: int = 4_000  # labelled rows to learn from, at most
     passes: int = 2
     alpha: float = 0.5
     beta: float = 1.0
@@ -46,51 +47,56 @@ class Training:
     l2: float = 0.2
 
 
-def features(raw: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers and their values of each row, one after another, and the rows' offsets."""
+def features(raw: np.ndarray, at: np.ndarray, buckets: int):
+    """The number of words before each row, then feature numbers of all words, kind by kind."""
     word, first = words.hashes(raw, at, fold=False)
-    n = len(word)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0), np.zeros(len(at), np.int64)
+    yield first
+    if not len(word):
+        return
     kind = _CLASS[raw]
     start, end, _ = words.spans(raw, at)
     new = np.ones(len(raw), bool)
     new[1:] = kind[1:] != kind[:-1]
     new[start] = True
     kept = np.cumsum(new)
-    head = np.flatnonzero(new)
-    shape = words._sums(kind[head], kept[start] - 1, kept[end - 1], words._BYTE)
-    del kept
-    shape = words.mix(shape)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    inner = np.zeros(n, bool)
-    inner[1:] = row[1:] == row[:-1]
-    before, shape_before = np.roll(word, 1), np.roll(shape, 1)
-    none = np.uint64(7)
-    pair = np.where(inner, words.mix(before * np.uint64(3) + word), none)
-    shapes = np.where(inner, words.mix(shape_before * np.uint64(3) + shape), none)
-    again = np.where(inner & (before == word), np.uint64(11), np.uint64(13))
-    # Five features a word: the fifth stands for shape and repetition of the word in one.
-    every = np.stack([word ^ _SALT[0], pair ^ _SALT[1], shape ^ _SALT[2], shapes ^ _SALT[3], again], axis=1)
-    index = (words.mix(every) % np.uint64(buckets)).astype(np.int64).reshape(-1)
-    size = np.diff(first)
-    value = np.repeat(np.repeat(_SCALE / np.maximum(size, 1), size), 5)
-    return index, value, first * 5
-
-
-def _example(it_buckets: int):
+    shape = words.mix(words._sums(kind[new], kept[start] - 1, kept[end - 1], words._BYTE))
+    del kind, new, kept
+    inner = np.ones(len(word), bool)
+    inner[first[:-1][np.diff(first) > 0]] = False  # has a word before it in its row
+
+    def number(h: np.ndarray) -> np.ndarray:
+        return (words.mix(h) % np.uint64(buckets)).astype(np.int32)
+
+    def with_before(h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), 7, np.uint64)
+        out[1:] = words.mix(h[:-1] * np.uint64(3) + h[1:])
+        out[~inner] = 7
+        return out
+
+    yield number(word ^ _SALT[0])
+    yield number(with_before(word) ^ _SALT[1])
+    yield number(shape ^ _SALT[2])
+    yield number(with_before(shape) ^ _SALT[3])
+    again = np.zeros(len(word), bool)
+    again[1:] = word[1:] == word[:-1]
+    yield number(np.where(again & inner, np.uint64(11), np.uint64(13)))
+
+
+def _example(buckets: int):
     schema = pa.schema([("all", pa.int32()), ("rank", pa.int64()), ("y", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
 
     def run(it):
         for b in it:
             raw, at = buffers(b.column("text"))
-            for lo, hi, part, offsets in pieces(raw, at):
-                index, value, starts = features(part, offsets, it_buckets)
-                out = []
-                for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    keys, back = np.unique(index[p:q], return_inverse=True)
-                    out.append((keys.astype(np.int32).tobytes(), np.bincount(back, weights=value[p:q], minlength=len(keys)).astype(np.float32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (hi - lo), pa.int32()), b.column("rank").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], schema=schema)
+            for lo, hi, part, offsets in pieces(raw, at, _PIECE):
+                first, *kinds = features(part, offsets, buckets)
+                every = np.stack(kinds, axis=1) if kinds else np.empty((0, 1), np.int32)
+                index, value = [], []
+                for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    keys, times = np.unique(every[p:q], return_counts=True)
+                    index.append(keys.astype(np.int32).tobytes())
+                    value.append((times * (_SCALE / max(q - p, 1))).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (hi - lo), pa.int32()), b.column("rank").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array(index, pa.binary()), pa.array(value, pa.binary())], schema=schema)
 
     return run
 
@@ -119,15 +125,14 @@ def _train(t: Training):
     schema = pa.schema([("weights", pa.binary())])
 
     def run(examples: pa.Table) -> pa.Table:
-        examples = examples.sort_by([("rank", "ascending"), ("y", "ascending")])
-        model, one = Ftrl(t), np.array([t.buckets])
-        rows = [
-            (np.concatenate([np.frombuffer(i, np.int32), one]), np.append(np.frombuffer(x, np.float32), 1.0), y)
-            for i, x, y in zip(*(examples.column(k).to_pylist() for k in ("index", "value", "y")), strict=True)
-        ]
+        model = Ftrl(t)
+        rank, label = np.asarray(examples.column("rank")), np.asarray(examples.column("y"))
+        order = np.lexsort((label, rank)).tolist()
+        (index, at), (value, _) = buffers(examples.column("index")), buffers(examples.column("value"))
         for _ in range(t.passes):
-            for i, x, y in rows:
-                model.learn(i, x, y)
+            for k in order:
+                own = slice(at[k], at[k + 1])
+                model.learn(np.append(index[own].view(np.int32), t.buckets), np.append(value[own].view(np.float32), 1.0), int(label[k]))
         return pa.table({"weights": [model.weights(np.arange(t.buckets + 1)).astype(np.float32).tobytes()]}, schema=schema)
 
     return run
@@ -151,10 +156,14 @@ def _score(model, buckets: int):
         w = model.value.astype(np.float64)
         for b in it:
             raw, at = buffers(b.column("text"))
-            for lo, hi, part, offsets in pieces(raw, at):
-                index, value, starts = features(part, offsets, buckets)
-                total = np.concatenate([[0], np.cumsum(w[index] * value)])
-                margin = total[starts[1:]] - total[starts[:-1]] + w[-1]
+            for lo, hi, part, offsets in pieces(raw, at, _PIECE):
+                kinds = features(part, offsets, buckets)
+                first = next(kinds)
+                total = np.zeros(int(first[-1]) + 1)
+                for index in kinds:
+                    total[1:] += w[index]
+                total = np.cumsum(total)
+                margin = (total[first[1:]] - total[first[:-1]]) * (_SCALE / np.maximum(np.diff(first), 1)) + w[-1]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], schema=schema)
 
     return run

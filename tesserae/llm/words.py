@@ -20,7 +20,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // 65536) * 65536  # no more than the longest piece of text needs
         for k, base in enumerate((_P, _P_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

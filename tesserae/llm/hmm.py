@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import words
 from tesserae.llm.common import buffers, fan, pieces, saved
 
-_FLUSH = 3_000_000  # words of a batch
+_FLUSH = 1_500_000  # words of a batch
 
 
 @dataclass(frozen=True)
@@ -195,8 +195,8 @@ class Model:
         return Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), self.base)
 
 
-def _sequences(raw: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens, each text's end included, and the texts' offsets."""
+def _sequences(raw: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens, each text's end included, the texts' offsets and their signatures."""
     word, first = words.hashes(raw, at, fold=True)
     cls = (word >> np.uint64(64 - bits)).astype(np.int64)
     n = len(first) - 1
@@ -205,7 +205,7 @@ def _sequences(raw: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray,
     keep = np.ones(len(out), bool)
     keep[offsets[1:] - 1] = False
     out[keep] = cls
-    return out, offsets
+    return out, offsets, signature(word, first)
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray):
@@ -288,7 +288,7 @@ def _expect(model, bits: int, stretch: int, parts: int):
             b = b.filter(pa.array(~held_out(b.column("doc_id").to_pylist()), pa.bool_()))
             raw, at = buffers(b.column("text"))
             for _, _, part, offsets in pieces(raw, at):
-                own = expected(model.value, *_sequences(part, offsets, bits), stretch)
+                own = expected(model.value, *_sequences(part, offsets, bits)[:2], stretch)
                 total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, parts)], pa.binary())], schema=schema)
@@ -333,7 +333,7 @@ def _draw(bits: int):
     def run(it):
         for b in it:
             raw, at = buffers(b.column("text"))
-            tokens, offsets = _sequences(raw, at, bits)
+            tokens, offsets, _ = _sequences(raw, at, bits)
             yield pa.RecordBatch.from_arrays([pa.array([tokens[p : min(q, p + 512)].astype(np.int32).tobytes() for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["tokens"])
 
     return run
@@ -342,16 +342,27 @@ def _draw(bits: int):
 def _likelihood(model, bits: int):
     schema = pa.schema([("_id", pa.int64()), ("_sig", pa.int64()), ("gain", pa.float64())])
 
+    def scored(m: Model, lost: np.ndarray, texts: list) -> pa.RecordBatch:
+        ids, sigs, tokens, lengths = zip(*texts, strict=True)
+        tokens, bounds = np.concatenate(tokens), np.cumsum(np.concatenate([[0], *lengths]))
+        gain = forward(m, tokens, bounds) - np.add.reduceat(lost[tokens], bounds[:-1])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(sigs).view(np.int64)), pa.array(gain)], schema=schema)
+
     def run(it):
         m = model.value
         lost = np.log10(m.base)
+        texts, gathered = [], 0
         for b in it:
             raw, at = buffers(b.column("text"))
-            for lo, hi, part, offsets in pieces(raw, at, 8 << 20):
-                tokens, bounds = _sequences(part, offsets, bits)
-                word, first = words.hashes(part, offsets, fold=True)
-                gain = forward(m, tokens, bounds) - np.add.reduceat(lost[tokens], bounds[:-1])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(signature(word, first).view(np.int64)), pa.array(gain)], schema=schema)
+            for lo, hi, part, offsets in pieces(raw, at):
+                tokens, bounds, sig = _sequences(part, offsets, bits)
+                texts.append((b.column("doc_id").slice(lo, hi - lo), sig, tokens.astype(np.int32), np.diff(bounds)))
+                gathered += len(tokens)
+                if gathered >= 1_000_000:  # many texts at a time make the recursion's steps worth while
+                    yield scored(m, lost, texts)
+                    texts, gathered = [], 0
+        if texts:
+            yield scored(m, lost, texts)
 
     return run
 

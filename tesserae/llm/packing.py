@@ -20,7 +20,9 @@ rows and null ids too; an empty table gives no row; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable
@@ -37,37 +39,66 @@ from tesserae.llm.common import saved
 SIZE = 1024  # tokens of a sequence
 END = 2  # the id behind every document
 STEPS = 4000  # steps of the local search at most
-_MEMORY = 400_000  # distinct pre-tokens remembered at a time
+_MEMORY = 800_000  # distinct pre-tokens remembered at a time, about 180 MB
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64()), ("ids", pa.binary())])
 
 _tokenizers: dict[str, tuple] = {}
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens' bytes and ids of a byte-level BPE file whose ids follow its merges' order; None for others."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    ids = [model["vocab"].get(a + b) for a, b in merges]
+    if ids != list(range(256, 256 + len(merges))) or any(c not in model["vocab"] for c in letters):
+        return None
+    kept = {*letters, *("".join(m) for m in merges)}
+    return {bytes(letters[c] for c in token): model["vocab"][token] for token in kept}
+
+
+class _Memory(dict):
+    """Pre-tokens' packed ids, worked out when they are first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= _MEMORY:
+            self.clear()
+        self[token] = out = array("I", self.encode(token)).tobytes()
+        return out
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and its memory of pre-tokens' packed ids; merges never cross a pre-token."""
+    """The tokenizer, and a memory of pre-tokens' packed ids; merges never cross a pre-token, and the
+    same merges give the same ids in the quicker library, where the file allows it."""
     if path not in _tokenizers:
+        import tiktoken
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
+        ranks = byte_ranks(path)
+        if ranks is None:
+            memory = _Memory(lambda token: t.encode(token, add_special_tokens=False).ids)
+        else:
+            memory = _Memory(tiktoken.Encoding("merges", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        _tokenizers[path] = (t, memory.__getitem__)
     return _tokenizers[path]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Packed little-endian unsigned 32-bit ids of each text."""
-    tokenizer, memory = _tokenizer(path)
+    tokenizer, packed = _tokenizer(path)
     split = [_QUICK.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-    new = list({p for parts in split if parts for p in parts}.difference(memory))
-    if len(memory) + len(new) > _MEMORY:
-        memory.clear()
-        new = list({p for parts in split if parts for p in parts})
-    for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        memory[p] = np.array(e.ids, "<u4").tobytes()
     odd = [t for t, parts in zip(texts, split, strict=True) if parts is None]
     whole = iter(tokenizer.encode_batch(odd, add_special_tokens=False))
-    return [np.array(next(whole).ids, "<u4").tobytes() if parts is None else b"".join(map(memory.__getitem__, parts)) for parts in split]
+    return [np.array(next(whole).ids, "<u4").tobytes() if parts is None else b"".join(map(packed, parts)) for parts in split]
 
 
 def _cut(path: str, size: int, end: int, with_ids: bool):

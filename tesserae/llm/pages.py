@@ -178,45 +178,50 @@ def _host(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-_READ = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("texts", pa.list_(pa.string())), ("roles", pa.binary())])
+_READ = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("text", pa.string()), ("texts", pa.list_(pa.string())), ("roles", pa.binary())])
 
 
-def _read(it):
-    for b in it:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            found = [blocks(h or "") for h in part.column("html").to_pylist()]
-            hosts = np.array([xxhash.xxh3_64_intdigest(_host(u).encode()) for u in part.column("url").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "page_id", "url")), pa.array(hosts), pa.array([t for t, _ in found], _READ.field("texts").type), pa.array([bytes(r) for _, r in found], pa.binary())], schema=_READ)
+def _read(structure: bool):
+    """Pages with main text come out finished; of others the blocks whose repetition matters: open
+    ones, or all without structure."""
 
-
-def _undecided(texts: list[str], roles: bytes, structure: bool) -> list[int]:
-    """Blocks whose repetition matters: open ones, in pages without main text; all, without structure."""
-    if not structure:
-        return list(range(len(texts)))
-    return [] if MAIN in roles else [k for k, r in enumerate(roles) if r == OPEN]
-
-
-def _streams(b: pa.RecordBatch, structure: bool):
-    """Tokens of the undecided blocks of a batch's pages: hashes and page rows."""
-    said, row = [], []
-    for k, (texts, roles) in enumerate(zip(b.column("texts").to_pylist(), b.column("roles").to_pylist(), strict=True)):
-        for j in _undecided(texts, roles, structure):
-            said.append(texts[j])
-            row.append(k)
-    raw, at = buffers(pa.array(said, pa.string()))
+    def run(it):
+        for b in it:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                text, texts, chosen = [], [], []
+                for h in part.column("html").to_pylist():
+                    said, roles = blocks(h or "")
+                    if structure and MAIN in roles:
+                        text.append("\n".join(t for t, r in zip(said, roles, strict=True) if r == MAIN))
+                        said, roles = [], []
+                    else:
+                        text.append(None)
+                    keep = [k for k, r in enumerate(roles) if not structure or r == OPEN]
+                    texts.append([said[k] for k in keep])
+                    chosen.append(bytes(roles[k] for k in keep))
+                hosts = np.array([xxhash.xxh3_64_intdigest(_host(u).encode()) for u in part.column("url").to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "page_id", "url")), pa.array(hosts), pa.array(text, pa.string()), pa.array(texts, _READ.field("texts").type), pa.array(chosen, pa.binary())], schema=_READ)
+
+    return run
+
+
+def _streams(b: pa.RecordBatch):
+    """Tokens of the blocks of a batch's pages: hashes and page rows."""
+    said = b.column("texts").to_pylist()
+    raw, at = buffers(pa.array([t for texts in said for t in texts], pa.string()))
     token, first = words.hashes(raw, at, fold=False)
-    n = np.diff(first)
-    return token, np.repeat(np.array(row, np.int64), n)
+    row = np.repeat(np.arange(len(said)), [len(texts) for texts in said])
+    return token, np.repeat(row, np.diff(first))
 
 
 _REPEAT = pa.schema([("host", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
-def _suffixes(run: int, structure: bool):
+def _suffixes(run: int):
     def work(it):
         for b in it:
-            token, row = _streams(b, structure)
+            token, row = _streams(b)
             if len(token) < run:
                 continue
             host, page = np.asarray(b.column("host"))[row], np.asarray(b.column("page"))[row]
@@ -237,12 +242,12 @@ def _suffixes(run: int, structure: bool):
     return work
 
 
-def _places(run: int, structure: bool):
+def _places(run: int):
     schema = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
     def work(it):
         for b in it:
-            token, row = _streams(b, structure)
+            token, row = _streams(b)
             if len(token) < run:
                 continue
             key, ids, host = words.rolling(token, run), np.asarray(b.column("row")), np.asarray(b.column("host"))
@@ -253,27 +258,19 @@ def _places(run: int, structure: bool):
     return work
 
 
-def _keep(run: int, structure: bool):
+def _keep(run: int):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def work(it):
         for b in it:
             out = []
-            for texts, roles, places in zip(*(b.column(c).to_pylist() for c in ("texts", "roles", "places")), strict=True):
-                if structure and MAIN in roles:
-                    out.append("\n".join(t for t, r in zip(texts, roles, strict=True) if r == MAIN))
-                    continue
-                kept, at = [], 0
-                chosen = _undecided(texts, roles, structure)
-                raw, offsets = buffers(pa.array([texts[j] for j in chosen], pa.string()))
+            for texts, places in zip(b.column("texts").to_pylist(), b.column("places").to_pylist(), strict=True):
+                raw, offsets = buffers(pa.array(texts, pa.string()))
                 first = words.spans(raw, offsets)[2]
                 covered = np.zeros(int(first[-1]) + 1, bool)
                 for at in places or ():
                     covered[at : at + run] = True
-                for k, j in enumerate(chosen):
-                    if 2 * covered[first[k] : first[k + 1]].sum() <= first[k + 1] - first[k]:
-                        kept.append(texts[j])
-                out.append("\n".join(kept))
+                out.append("\n".join(t for k, t in enumerate(texts) if 2 * covered[first[k] : first[k + 1]].sum() <= first[k + 1] - first[k]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], schema=schema)
 
     return work
@@ -283,15 +280,17 @@ def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFra
     """One row a page: page_id, url, text. Without `structure` roles count for nothing: the suffix
     arrays run over the whole token streams, what a host repeats goes and unique runs stay."""
     given = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = saved(given.mapInArrow(_read, "row long, page_id long, url string, host long, texts array<string>, roles binary"), "blocks")
-    paged = read.withColumn("page", F.coalesce("page_id", -F.col("row") - 1)).select("row", "host", "page", "texts", "roles")
+    read = saved(given.mapInArrow(_read(structure), "row long, page_id long, url string, host long, text string, texts array<string>, roles binary"), "blocks")
+    left = read.where("text IS NULL")
+    paged = left.withColumn("page", F.coalesce("page_id", -F.col("row") - 1)).select("row", "host", "page", "texts")
     repeats = (
-        paged.mapInArrow(_suffixes(run, structure), "host long, key long, low long, high long")
+        paged.mapInArrow(_suffixes(run), "host long, key long, low long, high long")
         .groupBy("host", "key")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low <> high")
         .select("host", "key")
     )
-    places = paged.mapInArrow(_places(run, structure), "row long, host long, key long, at int").join(repeats, ["host", "key"], "left_semi")
+    places = paged.mapInArrow(_places(run), "row long, host long, key long, at int").join(repeats, ["host", "key"], "left_semi")
     places = places.groupBy("row").agg(F.collect_list("at").alias("places"))
-    return read.join(places, "row", "left").select("page_id", "url", "texts", "roles", "places").mapInArrow(_keep(run, structure), "page_id long, url string, text string")
+    rest = left.join(places, "row", "left").select("page_id", "url", "texts", "places").mapInArrow(_keep(run), "page_id long, url string, text string")
+    return read.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.session import ship
 
@@ -68,6 +69,13 @@ def _sweep() -> None:
             return
 
 
+def least_hashed(df: DataFrame, rank: str, count: int, rows: int) -> DataFrame:
+    """The rows of `df`, of which there are `rows`, that can be among the `count` of least 64-bit hash
+    `rank`: about twice as many. So what is sorted for a sample doesn't grow with the tasks."""
+    share = (2 * count + 100) / max(rows, 1)
+    return df if share >= 1 else df.where(F.col(rank) < int(-(2**63) + share * 2**64))
+
+
 def fan(spark: SparkSession) -> int:
     """How many ranges or buckets a hash exchange deals to: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

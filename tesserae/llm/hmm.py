@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, fan, pieces, saved
+from tesserae.llm.common import buffers, fan, least_hashed, pieces, saved
 
 _FLUSH = 1_500_000  # words of a batch
 
@@ -301,17 +301,17 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
 
-def train(docs: DataFrame, base: np.ndarray, shape: Shape) -> Model:
-    """Baum-Welch on the training texts of `docs` (doc_id, text)."""
+def train(docs: DataFrame, texts: int, base: np.ndarray, shape: Shape) -> Model:
+    """Baum-Welch on the training texts of `docs` (doc_id, text), of which there are `texts`."""
     spark = docs.sparkSession
     model = Model.guess(base, shape.states)
     learn = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0)
-    drawn = learn.select("doc_id", "text", F.xxhash64("doc_id").alias("r")).orderBy("r", "doc_id").limit(shape.sample)
-    tried = drawn.mapInArrow(_draw(shape.class_bits), "tokens binary").collect()  # `sample` texts' first stretches
+    drawn = least_hashed(learn.select("doc_id", "text", F.xxhash64("doc_id").alias("r")), "r", shape.sample, texts)
+    drawn = drawn.mapInArrow(_draw(shape.class_bits, shape.stretch), "doc_id long, r long, tokens binary")
+    tried = drawn.orderBy("r", "doc_id", "tokens").limit(shape.sample).collect()  # `sample` texts' first stretches
     if not tried:
         return model
     tokens = [np.frombuffer(r["tokens"], np.int32).astype(np.int64) for r in tried]
-    tokens = [x[: shape.stretch] for x in tokens]
     offsets = np.cumsum([0, *(len(x) for x in tokens)])
     tokens = np.concatenate(tokens)
     for _ in range(shape.sample_rounds):
@@ -327,14 +327,16 @@ def train(docs: DataFrame, base: np.ndarray, shape: Shape) -> Model:
     return model
 
 
-def _draw(bits: int):
+def _draw(bits: int, stretch: int):
     """Classes of each text's first tokens, to start training from."""
 
     def run(it):
         for b in it:
             raw, at = buffers(b.column("text"))
-            tokens, offsets, _ = _sequences(raw, at, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([tokens[p : min(q, p + 512)].astype(np.int32).tobytes() for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], names=["tokens"])
+            for lo, hi, part, offsets in pieces(raw, at):
+                tokens, bounds, _ = _sequences(part, offsets, bits)
+                heads = [tokens[p : min(q, p + stretch)].astype(np.int32).tobytes() for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("r").slice(lo, hi - lo), pa.array(heads, pa.binary())], names=["doc_id", "r", "tokens"])
 
     return run
 
@@ -387,7 +389,7 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     matrix = counted.where("part < 0").select("batch", "docs", "sig", "valid", "starts", "low", "high", "times")
     returned = summed.where("batch >= 0").select("batch", "part", "counts")
     base = matrix.groupBy("batch").cogroup(returned.groupBy("batch")).applyInArrow(_base(tokens, types, ends), "doc_id long, sig long, n_tokens long, n_known long, base_score double")
-    model = train(rows, p, shape)
+    model = train(rows, ends, p, shape)
     sent = spark.sparkContext.broadcast(model)
     gains = rows.mapInArrow(_likelihood(sent, shape.class_bits), "_id long, _sig long, gain double").dropDuplicates(["_id", "_sig"])
     out = base.join(gains, base["doc_id"].eqNullSafe(gains["_id"]) & (base["sig"] == gains["_sig"]))

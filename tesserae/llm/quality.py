@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, pieces
+from tesserae.llm.common import buffers, least_hashed, pieces
 
 _SALT = tuple(np.uint64(x) for x in (0x51ED270B, 0x2545F491, 0x3C6EF372, 0x1B873593))
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     """Weights learnt from `docs` (doc_id, text) by `labels` (doc_id, y); the last one is the intercept."""
     usable = labels.where("y IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "y")
     # A fixed pseudo-random order of ids: the sample is the same however rows are dealt out.
-    chosen = usable.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id", "y").limit(training.sample)
+    ranked = usable.withColumn("rank", F.xxhash64("doc_id"))
+    chosen = least_hashed(ranked, "rank", training.sample, usable.count()).orderBy("rank", "doc_id", "y").limit(training.sample)
     # The sample's bound makes it fit to broadcast, so no text is shuffled to meet it.
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "y", "text").mapInArrow(_example(training.buckets), "all int, rank long, y int, index binary, value binary")
     found = examples.groupBy("all").applyInArrow(_train(training), "weights binary").collect()

@@ -16,8 +16,18 @@ links AS (
   FROM lineitem WHERE l_linenumber <= 2 AND l_quantity <= 3)"""
 
 
+def all_links(t: Tables) -> DataFrame:
+    """A link for each line item."""
+    return links_of(t.lineitem)
+
+
 def links(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_linenumber <= 2 AND l_quantity <= 3").selectExpr(
+    """The links that LINKS names, for queries that are compared with SQL."""
+    return links_of(t.lineitem.where("l_linenumber <= 2 AND l_quantity <= 3"))
+
+
+def links_of(items: DataFrame) -> DataFrame:
+    return items.selectExpr(
         "l_orderkey * 10 + l_linenumber AS id", "CASE l_returnflag WHEN 'A' THEN 'process_mechanism' WHEN 'N' THEN 'mechanism_morphology' ELSE 'process_morphology' END AS relation",
         "CASE l_returnflag WHEN 'N' THEN concat('mechanism:', l_partkey % 40) ELSE concat('process:', l_suppkey % 30) END AS source",
         "CASE l_returnflag WHEN 'A' THEN concat('mechanism:', l_partkey % 40) ELSE concat('morphology:', l_partkey % 25) END AS target",
@@ -54,8 +64,7 @@ p AS (SELECT [id] AS ids, 1 AS n, confidence AS c, direction AS d, source AS hea
 sc AS (SELECT *, round(w * 0.3 + c * 0.3 + 0.2 + 0.2 * (CASE WHEN contains(nodes, 'mechanism:1') THEN 0.5 ELSE 0 END + CASE WHEN contains(nodes, 'morphology:2') THEN 0.5 ELSE 0 END), 6) AS score FROM p)"""
 
 
-def scored_paths(t: Tables) -> DataFrame:
-    ln = links(t)
+def scored_paths(ln: DataFrame) -> DataFrame:
     seeds = ln.where("relation = 'process_mechanism' AND confidence >= 0.8")
     paths = G.grow(ln, seeds, 1)
     s = paths.select("path", *G.path_scores(F.col("path"), ["mechanism:1", "morphology:2"], "increase"))
@@ -64,7 +73,7 @@ def scored_paths(t: Tables) -> DataFrame:
 
 @query("J15 F34 F35", PATHS + " SELECT array_to_string(ids, '-') AS ids, score FROM sc")
 def path_scores(t: Tables) -> DataFrame:
-    return scored_paths(t).select("ids", "score")
+    return scored_paths(links(t)).select("ids", "score")
 
 
 @query("J15 A41 K07", PATHS + """, m AS (SELECT d FROM p GROUP BY d ORDER BY count(*) DESC, d LIMIT 1), x AS (SELECT max(score) AS top FROM sc),
@@ -72,7 +81,7 @@ k AS (SELECT array_to_string(ids, '-') AS ids, score, CASE WHEN sc.d <> m.d THEN
 SELECT ids, score, chain_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY chain_type ORDER BY score DESC, ids) AS rank FROM k) WHERE rank <= CASE chain_type WHEN 'primary' THEN 3 WHEN 'supporting' THEN 5 ELSE 3 END""")
 def chain_classes(t: Tables) -> DataFrame:
     """Three primary, five supporting and three conflicting chains."""
-    c = G.quota(G.classify(scored_paths(t)), {"primary": 3, "supporting": 5, "conflicting": 3}, F.col("ids"))
+    c = G.quota(G.classify(scored_paths(links(t))), {"primary": 3, "supporting": 5, "conflicting": 3}, F.col("ids"))
     return c.select("ids", "score", "chain_type", "rank")
 
 
@@ -80,15 +89,15 @@ def chain_classes(t: Tables) -> DataFrame:
 def path_three_hops(t: Tables) -> DataFrame:
     """Paths along allowed transitions of up to three links, counted by length and ends."""
     allowed = t.spark.createDataFrame(G.TRANSITIONS, "first string, then string")
-    ln = links(t)
-    paths = G.grow(ln, ln.where("relation = 'process_mechanism' AND confidence >= 0.9"), 2, per_tail=5, transitions=allowed)
+    ln = all_links(t)
+    paths = G.grow(ln, ln.where("relation = 'process_mechanism' AND confidence >= 0.9"), 2, transitions=allowed)
     return paths.groupBy(F.size("path").alias("length"), F.element_at("path", 1)["source"].alias("head"), F.element_at("path", -1)["target"].alias("tail")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.element_at("path", -1)["confidence"]), 4).alias("best"))
 
 
 @query("K08 K09 D07", None)
 def suppressed_paths(t: Tables) -> DataFrame:
     """Of each head the five best paths that share at most 60 % of their links with a better one."""
-    p = scored_paths(t).select(F.element_at("path", 1)["source"].alias("head"), F.col("ids").alias("id"), F.split("ids", "-").alias("members"), "score")
+    p = scored_paths(all_links(t)).select(F.element_at("path", 1)["source"].alias("head"), F.col("ids").alias("id"), F.split("ids", "-").alias("members"), "score")
     return G.suppress(p, "head", "members", "score", 5)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import math
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import catalog, evaluate, graph, images, predict, retrieval, stats
+from tesserae.plans import registry
 from tesserae.plans import retrieval as ranking
 from tesserae.sources import files
 from tesserae.streaming import ingest
@@ -106,6 +108,17 @@ def test_paths_never_repeat_a_link(spark):
     assert hops == {"a": 0, "b": 1, "c": 2}
 
 
+def test_paths_start_from_every_line_item(spark, tmp_path):
+    items = [(1, 1, 1, 3, 30.0, 0.1, "A", "O")] + [(2, 1 + 40 * j, 1, j % 7 + 1, 30.0, 0.1 - 0.001 * j, "N", "O") for j in range(25)]
+    items = [(n, *r[1:]) for n, r in enumerate(items)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Counter()
+    for r in registry.QUERIES["path_three_hops"](spark, str(tmp_path)).collect():
+        got[r.length] += r.n
+    assert got == {1: 1, 2: 20}  # no link is left out by number or quantity, and a tail takes its best 20
+    assert registry.QUERIES["suppressed_paths"](spark, str(tmp_path)).count() == 5
+
+
 def test_greedy_suppression(spark):
     df = spark.createDataFrame([("q", 1, ["a", "b", "c"], 0.9), ("q", 2, ["a", "b", "d"], 0.8), ("q", 3, ["x", "y"], 0.7), ("q", 4, ["a", "y", "z"], 0.6)], "g string, id long, m array<string>, s double")
     assert [r.id for r in graph.suppress(df, "g", "m", "s", 2).orderBy("rank").collect()] == [1, 3]

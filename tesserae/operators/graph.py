@@ -6,6 +6,7 @@ of joins; each tail takes a bounded number of links by rank, which is the featur
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +105,33 @@ def quota(scored: DataFrame, limits: dict[str, int], tie: Column) -> DataFrame:
 
 def suppress(scored: DataFrame, group: str, members: str, score: str, k: int, overlap: float = 0.6) -> DataFrame:
     """Greedily the best rows of a group that share at most `overlap` of their members
-    with each one taken. What is compared is cut to the group's best 4 k candidates, the
-    feature's own look-ahead, and one aggregation decides in order."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), F.col("id").alias("id"), F.array_sort(F.array_distinct(members)).alias("m"))), asc=False), 1, 4 * k)
-    grouped = scored.groupBy(group).agg(best.alias("c"))
-    none = F.slice(F.col("c"), 1, 0)
-    taken = F.aggregate("c", none, lambda a, x: F.when((F.size(a) < k) & ~F.exists(a, lambda y: F.size(F.array_intersect(y["m"], x["m"])) / F.least(F.size(y["m"]), F.size(x["m"])) > overlap), F.concat(a, F.array(x))).otherwise(a))
-    return grouped.select(group, F.posexplode(taken).alias("rank", "t")).select(group, (F.col("rank") + 1).alias("rank"), F.col("t.id").alias("id"), F.col("t.s").alias("score"))
+    with each one taken. All candidates of a group pass in order of score until `k` are taken;
+    only the taken ones' members are held."""
+    rows = scored.select(F.col(group).alias("g"), F.col(score).alias("s"), F.col("id"), F.array_sort(F.array_distinct(members)).alias("m"))
+    ordered = rows.repartition("g").sortWithinPartitions("g", F.desc("s"), F.desc("id"), F.desc("m"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered.mapInArrow(_greedy(k, overlap), f"g {kinds['g']}, rank int, id {kinds['id']}, s {kinds['s']}").toDF(group, "rank", "id", "score")
+
+
+def _greedy(k: int, overlap: float):
+    def run(it):
+        now, taken = None, None
+        for b in it:
+            groups, sets, at, ranks = b.column("g").to_pylist(), b.column("m"), [], []
+            for i, g in enumerate(groups):
+                if taken is None or g != now:
+                    now, taken = g, []
+                if len(taken) == k:
+                    continue
+                own = frozenset(sets[i].as_py() or ())
+                if not any(own and y and len(own & y) / min(len(own), len(y)) > overlap for y in taken):
+                    taken.append(own)
+                    at.append(i)
+                    ranks.append(len(taken))
+            best = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([best.column("g"), pa.array(ranks, pa.int32()), best.column("id"), best.column("s")], names=["g", "rank", "id", "s"])
+
+    return run
 
 
 # ---- links from text -------------------------------------------------------------------------

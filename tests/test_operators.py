@@ -124,6 +124,13 @@ def test_greedy_suppression(spark):
     assert [r.id for r in graph.suppress(df, "g", "m", "s", 2).orderBy("rank").collect()] == [1, 3]
 
 
+def test_suppression_walks_all_candidates(spark):
+    near = [(g, n, ["a", "b", f"x{n}"], 1 - n / 1000) for g in ("p", None) for n in range(50)]
+    df = spark.createDataFrame([*near, ("p", 50, ["c"], 0.2), ("p", 51, ["d"], 0.1), (None, 52, ["c"], 0.2), ("q", 53, [], 0.5), ("q", 54, None, 0.4)], "g string, id long, m array<string>, s double").repartition(3)
+    got = graph.suppress(df, "g", "m", "s", 2)
+    assert sorted(rows(got), key=repr) == sorted([("p", 1, 0, 1.0), ("p", 2, 50, 0.2), (None, 1, 0, 1.0), (None, 2, 52, 0.2), ("q", 1, 53, 0.5), ("q", 2, 54, 0.4)], key=repr)
+
+
 def test_thresholds_and_kappa(spark):
     data = [(float(s), "straight" if s < 3 else "wavy" if s < 6 else "coiled") for s in range(10)]
     df = spark.createDataFrame(data, "s double, w string")

@@ -5,14 +5,15 @@
    main element, `frame` inside menus, headers, footers, sidebars, notices, adverts, forms,
    comments of readers and the like, `open` otherwise. Scripts, styles, markup and comments of
    the page itself have no text.
-2. A task concatenates the token streams of its pages host by host, leaves out what is main or
-   frame for certain where a page has main text, and sorts the suffixes of what remains by their
-   first `run` tokens (prefix doubling). Equal neighbours from distinct pages of a host are
+2. A task concatenates the token streams of its pages host by host, leaves out frame blocks, and
+   sorts the suffixes of what remains, main text included, by their first `run` tokens (prefix
+   doubling). Equal neighbours from distinct pages of a host are
    substrings that the host repeats. Each distinct one leaves the task as one row with its least
    and greatest page; rows of all tasks meet by aggregation, so a host of any size is spread and
    repeats between pages of different tasks are found all the same.
-3. Repeats return to their pages. Open blocks that repeats cover for the greater part are
-   boilerplate; unique runs stay. Main blocks stay whatever they share with other pages.
+3. Repeats return to the pages whose open blocks they may cover. Open blocks that repeats cover
+   for the greater part are boilerplate; unique ones stay, beside main text too. Main blocks stay
+   whatever they share with other pages.
 
 Defined cases: null html is empty; empty pages have an empty text; a null page id is a page like
 others, told apart by its row; rows that repeat an id are one page to the search for repeats, so
@@ -178,41 +179,36 @@ def _host(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-_READ = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("text", pa.string()), ("texts", pa.list_(pa.string())), ("roles", pa.binary())])
+_READ = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("texts", pa.list_(pa.string())), ("roles", pa.binary())])
 
 
 def _read(structure: bool):
-    """Pages with main text come out finished; of others the blocks whose repetition matters: open
-    ones, or all without structure."""
+    """The blocks of pages: main and open ones, or all, as open ones, without structure."""
 
     def run(it):
         for b in it:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                text, texts, chosen = [], [], []
+                texts, chosen = [], []
                 for h in part.column("html").to_pylist():
                     said, roles = blocks(h or "")
-                    if structure and MAIN in roles:
-                        text.append("\n".join(t for t, r in zip(said, roles, strict=True) if r == MAIN))
-                        said, roles = [], []
-                    else:
-                        text.append(None)
-                    keep = [k for k, r in enumerate(roles) if not structure or r == OPEN]
+                    keep = [k for k, r in enumerate(roles) if not structure or r != FRAME]
                     texts.append([said[k] for k in keep])
-                    chosen.append(bytes(roles[k] for k in keep))
+                    chosen.append(bytes(roles[k] if structure else OPEN for k in keep))
                 hosts = np.array([xxhash.xxh3_64_intdigest(_host(u).encode()) for u in part.column("url").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "page_id", "url")), pa.array(hosts), pa.array(text, pa.string()), pa.array(texts, _READ.field("texts").type), pa.array(chosen, pa.binary())], schema=_READ)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "page_id", "url")), pa.array(hosts), pa.array(texts, _READ.field("texts").type), pa.array(chosen, pa.binary())], schema=_READ)
 
     return run
 
 
 def _streams(b: pa.RecordBatch):
-    """Tokens of the blocks of a batch's pages: hashes and page rows."""
+    """Tokens of the blocks of a batch's pages: hashes, page rows and whether they are in open blocks."""
     said = b.column("texts").to_pylist()
     raw, at = buffers(pa.array([t for texts in said for t in texts], pa.string()))
     token, first = words.hashes(raw, at, fold=False)
     row = np.repeat(np.arange(len(said)), [len(texts) for texts in said])
-    return token, np.repeat(row, np.diff(first))
+    role = np.frombuffer(b"".join(b.column("roles").to_pylist()), np.uint8)
+    return token, np.repeat(row, np.diff(first)), np.repeat(role == OPEN, np.diff(first))
 
 
 _REPEAT = pa.schema([("host", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
@@ -221,7 +217,7 @@ _REPEAT = pa.schema([("host", pa.int64()), ("key", pa.int64()), ("low", pa.int64
 def _suffixes(run: int):
     def work(it):
         for b in it:
-            token, row = _streams(b)
+            token, row, _ = _streams(b)
             if len(token) < run:
                 continue
             host, page = np.asarray(b.column("host"))[row], np.asarray(b.column("page"))[row]
@@ -243,16 +239,18 @@ def _suffixes(run: int):
 
 
 def _places(run: int):
+    """Where the runs begin that touch an open block."""
     schema = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
     def work(it):
         for b in it:
-            token, row = _streams(b)
+            token, row, matters = _streams(b)
             if len(token) < run:
                 continue
+            upto = np.concatenate([[0], np.cumsum(matters)])
             key, ids, host = words.rolling(token, run), np.asarray(b.column("row")), np.asarray(b.column("host"))
             start = np.searchsorted(row, np.arange(b.num_rows))
-            ok = np.flatnonzero(row[: len(key)] == row[run - 1 :])
+            ok = np.flatnonzero((row[: len(key)] == row[run - 1 :]) & (upto[run:] > upto[: len(key)]))
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[ok]]), pa.array(host[row[ok]]), pa.array(key[ok].view(np.int64)), pa.array((ok - start[row[ok]]).astype(np.int32))], schema=schema)
 
     return work
@@ -264,13 +262,13 @@ def _keep(run: int):
     def work(it):
         for b in it:
             out = []
-            for texts, places in zip(b.column("texts").to_pylist(), b.column("places").to_pylist(), strict=True):
+            for texts, roles, places in zip(b.column("texts").to_pylist(), b.column("roles").to_pylist(), b.column("places").to_pylist(), strict=True):
                 raw, offsets = buffers(pa.array(texts, pa.string()))
                 first = words.spans(raw, offsets)[2]
                 covered = np.zeros(int(first[-1]) + 1, bool)
                 for at in places or ():
                     covered[at : at + run] = True
-                out.append("\n".join(t for k, t in enumerate(texts) if 2 * covered[first[k] : first[k + 1]].sum() <= first[k + 1] - first[k]))
+                out.append("\n".join(t for k, t in enumerate(texts) if roles[k] == MAIN or 2 * covered[first[k] : first[k + 1]].sum() <= first[k + 1] - first[k]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], schema=schema)
 
     return work
@@ -280,9 +278,8 @@ def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFra
     """One row a page: page_id, url, text. Without `structure` roles count for nothing: the suffix
     arrays run over the whole token streams, what a host repeats goes and unique runs stay."""
     given = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = saved(given.mapInArrow(_read(structure), "row long, page_id long, url string, host long, text string, texts array<string>, roles binary"), "blocks")
-    left = read.where("text IS NULL")
-    paged = left.withColumn("page", F.coalesce("page_id", -F.col("row") - 1)).select("row", "host", "page", "texts")
+    read = saved(given.mapInArrow(_read(structure), "row long, page_id long, url string, host long, texts array<string>, roles binary"), "blocks")
+    paged = read.withColumn("page", F.coalesce("page_id", -F.col("row") - 1)).select("row", "host", "page", "texts", "roles")
     repeats = (
         paged.mapInArrow(_suffixes(run), "host long, key long, low long, high long")
         .groupBy("host", "key")
@@ -292,5 +289,8 @@ def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFra
     )
     places = paged.mapInArrow(_places(run), "row long, host long, key long, at int").join(repeats, ["host", "key"], "left_semi")
     places = places.groupBy("row").agg(F.collect_list("at").alias("places"))
-    rest = left.join(places, "row", "left").select("page_id", "url", "texts", "places").mapInArrow(_keep(run), "page_id long, url string, text string")
-    return read.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest)
+    shown = "page_id long, url string, text string"
+    unsure = F.hex("roles").rlike("^(?:..)*00")  # open blocks; pages without any have no places
+    rest = read.where(unsure).join(places, "row", "left").select("page_id", "url", "texts", "roles", "places").mapInArrow(_keep(run), shown)
+    done = read.where(~unsure).select("page_id", "url", "texts", "roles", F.lit(None).cast("array<int>").alias("places")).mapInArrow(_keep(run), shown)
+    return done.unionByName(rest)

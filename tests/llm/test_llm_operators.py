@@ -142,6 +142,17 @@ def test_suffix_arrays_alone(spark):
     assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"{t}\n{foot}" for k, t in own.items()}
 
 
+def test_text_beside_an_article_stays_unless_the_host_repeats_it(spark):
+    rng = random.Random(5)
+    own, told = {k: prose(rng, 25, 9000) for k in range(6)}, prose(rng, 15, 9000)
+    rows = [(k, "http://b.org/x", f"<article><p>Teaser {k}</p></article><div>{t}</div><div>{told}</div>") for k, t in own.items() if k]
+    rows.append((0, "http://b.org/y", f"<main><p>{own[0]}</p><p>{told}</p></main>"))
+    rows.append((9, "http://b.org/z", f"<div>{own[0]}</div><div>short and unique</div>"))  # repeated from main text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = {k: f"Teaser {k}\n{t}" for k, t in own.items() if k} | {0: f"{own[0]}\n{told}", 9: "short and unique"}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+
+
 # ---- packing and encoding ------------------------------------------------------------------
 
 

@@ -13,11 +13,11 @@ of texts and words. Vocabularies are dealt out by ranges of word hashes and summ
 sums return to the batch they came from, and each batch scores its matrix. A word as frequent as
 "the" costs a record a batch, and no table of all words is collected or broadcast.
 
-Training. Baum-Welch starts from a few rounds on a bounded sample of texts, which only breaks the
-symmetry of the states; each further round runs over the whole training corpus: a task's expected
-counts, of a size set by states and classes, are summed by ranges of classes. For training, texts
-are taken in stretches of at most `stretch` tokens; scoring runs the scaled forward recursion
-over whole texts, so the likelihood is exact.
+Training. Baum-Welch starts from a random model, which breaks the symmetry of the states. Every
+round runs over all whole training texts: a task's expected counts, of a size set by states and
+classes, and its log likelihood are summed by ranges of classes. Rounds go on until the likelihood
+settles. For training, texts are taken in stretches of at most `stretch` tokens; scoring runs the
+scaled forward recursion over whole texts, so the likelihood is exact.
 
 Defined cases: null and empty texts have the end token alone; texts with null ids are scored and
 count as held out; repeated rows count and are scored each; without training texts every token
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, fan, least_hashed, pieces, saved
+from tesserae.llm.common import buffers, fan, pieces, saved
 
 _FLUSH = 1_500_000  # words of a batch
 
@@ -45,9 +45,10 @@ _FLUSH = 1_500_000  # words of a batch
 class Shape:
     states: int = 8
     class_bits: int = 14
-    sample: int = 2_000  # texts that break the symmetry
-    sample_rounds: int = 12
-    rounds: int = 3  # over the whole training corpus
+    sample: int = 2_000  # not used: no round runs on a sample
+    sample_rounds: int = 12  # not used
+    rounds: int = 3  # over the whole training corpus, at least
+    settled: float = 1e-4  # the gain of log10 likelihood a token under which rounds end
     stretch: int = 512
     prior: float = 20.0  # tokens' worth of the base classes in each state's emissions
 
@@ -235,6 +236,11 @@ def forward(model: Model, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray
 
 def expected(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int) -> np.ndarray:
     """Expected counts of starts, steps and emissions: the E step of Baum-Welch."""
+    return estep(model, tokens, offsets, stretch)[0]
+
+
+def estep(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int) -> tuple[np.ndarray, float]:
+    """Expected counts, and the log10 likelihood of the stretches."""
     k = len(model.start)
     counts = np.zeros(k + k * k + model.emit.size)
     lengths = np.diff(offsets)
@@ -244,7 +250,7 @@ def expected(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int
     size = np.minimum(stretch, np.repeat(offsets[1:], cuts) - begin)
     order, starts, active = _ragged(begin, size)
     if not len(active):
-        return counts
+        return counts, 0.0
     first = piece[order] == 0
     level = np.full(k, 1 / k)
     for _ in range(50):
@@ -276,21 +282,22 @@ def expected(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int
     emit = counts[k + k * k :].reshape(-1, k)
     for s in range(k):
         emit[:, s] = np.bincount(cls, weights=gamma[:, s], minlength=len(model.emit))
-    return counts
+    return counts, float(sum(np.log10(x).sum() for x in scales))
 
 
 def _expect(model, bits: int, stretch: int, parts: int):
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def run(it):
-        total = None
+        total, likelihood = None, 0.0
         for b in it:
             b = b.filter(pa.array(~held_out(b.column("doc_id").to_pylist()), pa.bool_()))
             raw, at = buffers(b.column("text"))
             for _, _, part, offsets in pieces(raw, at):
-                own = expected(model.value, *_sequences(part, offsets, bits)[:2], stretch)
-                total = own if total is None else total + own
+                own, more = estep(model.value, *_sequences(part, offsets, bits)[:2], stretch)
+                total, likelihood = own if total is None else total + own, likelihood + more
         if total is not None:
+            total = np.append(total, likelihood)
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, parts)], pa.binary())], schema=schema)
 
     return run
@@ -301,44 +308,25 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
 
-def train(docs: DataFrame, texts: int, base: np.ndarray, shape: Shape) -> Model:
-    """Baum-Welch on the training texts of `docs` (doc_id, text), of which there are `texts`."""
+def train(docs: DataFrame, base: np.ndarray, shape: Shape) -> Model:
+    """Baum-Welch on all training texts of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     model = Model.guess(base, shape.states)
-    learn = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0)
-    drawn = least_hashed(learn.select("doc_id", "text", F.xxhash64("doc_id").alias("r")), "r", shape.sample, texts)
-    drawn = drawn.mapInArrow(_draw(shape.class_bits, shape.stretch), "doc_id long, r long, tokens binary")
-    tried = drawn.orderBy("r", "doc_id", "tokens").limit(shape.sample).collect()  # `sample` texts' first stretches
-    if not tried:
-        return model
-    tokens = [np.frombuffer(r["tokens"], np.int32).astype(np.int64) for r in tried]
-    offsets = np.cumsum([0, *(len(x) for x in tokens)])
-    tokens = np.concatenate(tokens)
-    for _ in range(shape.sample_rounds):
-        model = model.fitted(expected(model, tokens, offsets, shape.stretch), shape.prior)
-    parts = min(fan(spark), 32)
-    for _ in range(shape.rounds):
+    k = shape.states
+    parts, before, done = min(fan(spark), 32), -np.inf, 0
+    while True:
         sent = spark.sparkContext.broadcast(model)
         told = docs.select("doc_id", "text").mapInArrow(_expect(sent, shape.class_bits, shape.stretch, parts), "part int, counts binary")
         rows = told.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()
-        if rows:
-            model = model.fitted(np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["part"])]), shape.prior)
         sent.unpersist()
-    return model
-
-
-def _draw(bits: int, stretch: int):
-    """Classes of each text's first tokens, to start training from."""
-
-    def run(it):
-        for b in it:
-            raw, at = buffers(b.column("text"))
-            for lo, hi, part, offsets in pieces(raw, at):
-                tokens, bounds, _ = _sequences(part, offsets, bits)
-                heads = [tokens[p : min(q, p + stretch)].astype(np.int32).tobytes() for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("r").slice(lo, hi - lo), pa.array(heads, pa.binary())], names=["doc_id", "r", "tokens"])
-
-    return run
+        if not rows:
+            return model
+        counts = np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["part"])])
+        counts, likelihood = counts[:-1], counts[-1] / max(counts[k + k * k : -1].sum(), 1.0)
+        model, done = model.fitted(counts, shape.prior), done + 1
+        if done >= shape.rounds and likelihood - before < shape.settled:
+            return model
+        before = likelihood
 
 
 def _likelihood(model, bits: int):
@@ -389,7 +377,7 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     matrix = counted.where("part < 0").select("batch", "docs", "sig", "valid", "starts", "low", "high", "times")
     returned = summed.where("batch >= 0").select("batch", "part", "counts")
     base = matrix.groupBy("batch").cogroup(returned.groupBy("batch")).applyInArrow(_base(tokens, types, ends), "doc_id long, sig long, n_tokens long, n_known long, base_score double")
-    model = train(rows, ends, p, shape)
+    model = train(rows, p, shape)
     sent = spark.sparkContext.broadcast(model)
     gains = rows.mapInArrow(_likelihood(sent, shape.class_bits), "_id long, _sig long, gain double").dropDuplicates(["_id", "_sig"])
     out = base.join(gains, base["doc_id"].eqNullSafe(gains["_id"]) & (base["sig"] == gains["_sig"]))

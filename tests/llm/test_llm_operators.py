@@ -429,6 +429,26 @@ def test_hidden_markov_scores(spark):
     assert hmm.score(frame(spark, rows).limit(0), shape).count() == 0
 
 
+def test_training_reads_whole_texts_to_the_end(spark):
+    """What only the later parts of texts say shapes the model, whatever the sample's settings."""
+    rng = random.Random(8)
+    texts = {d: " ".join(["x"] * 20 + [rng.choice("ab" if j // 8 % 2 else "cd") for j in range(160)]) for d in range(60)}
+    df = frame(spark, texts).select("doc_id", "text")
+    base = np.ones(65)
+    got = hmm.train(df, base, hmm.Shape(states=2, class_bits=6, sample=1, sample_rounds=0, rounds=2, stretch=20, settled=1e-6))
+    learnt = [t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
+    raw, at = pages.buffers(pages.pa.array(learnt))
+    tokens, offsets, _ = hmm._sequences(raw, at, 6)
+    want, before = hmm.Model.guess(base, 2), -np.inf
+    for n in range(1, 1000):
+        counts, said = hmm.estep(want, tokens, offsets, 20)
+        want = want.fitted(counts, 20.0)
+        if n >= 2 and said / len(tokens) - before < 1e-6:
+            break
+        before = said / len(tokens)
+    assert n > 2 and np.allclose(got.step, want.step) and np.allclose(got.emit, want.emit)
+
+
 def test_forward_and_expected_counts():
     """Likelihoods against the sum over all paths; expected counts against their definition."""
     import itertools

@@ -37,12 +37,21 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.col(conv).alias("conv_id"),
         F.struct(
             F.col(turn).alias("turn"),
-            F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit(">"), F.lit("\\g")).alias("role"),
-            escape(F.coalesce(F.col(text), F.lit(""))).alias("body"),
-            (F.coalesce(F.col(role), F.lit("")) == loss_role).alias("learn"),
+            F.coalesce(F.col(role), F.lit("")).alias("role"),
+            F.coalesce(F.col(text), F.lit("")).alias("body"),
         ).alias("t"),
     )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("given"))
+    # Sorted as given: escaped texts would sort ties differently.
+    safe = F.transform(
+        "given",
+        lambda t: F.struct(
+            F.replace(escape(t["role"]), F.lit(">"), F.lit("\\g")).alias("role"),
+            escape(t["body"]).alias("body"),
+            (t["role"] == loss_role).alias("learn"),
+        ),
+    )
+    chats = chats.select("conv_id", safe.alias("turns"))
     # The mark before each turn: a new block where the role differs from the turn before.
     chats = chats.withColumn("marked", F.expr(f"""
         transform(turns, (t, i) -> struct(

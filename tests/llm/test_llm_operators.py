@@ -51,7 +51,7 @@ def frame(spark, texts, parts=3):
 
 def clashing(df):
     """The rows with columns named like those that operators make."""
-    for c in "node component text_sha256 fp norm batch part key row at n kept score label a c u v".split():
+    for c in "node component text_sha256 fp norm batch part key row at n kept score label a c u v places _id given _kept_id d words".split():
         df = df.withColumn(c, F.lit(1))
     return df
 
@@ -89,6 +89,12 @@ def test_chat_round_trip(spark):
     assert {r.conv_id: r.loss_chars for r in chat.digests(chat.read_chats(chat.format_chats(chat.with_probe(df)))).collect()}[-7] == 26
 
 
+def test_chat_ties_go_by_the_given_text(spark):
+    rows = [(1, 0, "user", "<a"), (1, 0, "user", "A"), (1, 0, "user", "\\z"), (1, 0, "user", None), (1, 0, "user", "A")]
+    got = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).first()
+    assert [t.text for t in got.turns] == ["", "<a", "A", "A", "\\z"]
+
+
 # ---- pages ---------------------------------------------------------------------------------
 
 
@@ -282,7 +288,7 @@ def test_near_groups(spark, setting):
 def test_near_groups_of_awkward_rows(spark):
     df = frame(spark, [(5, "a b c d", "en", "s", 1), (5, "a b c d", "en", "s", 1), (4, "a b c d", "en", "s", 1), (None, "a b c d", "en", "s", 1), (None, None, "en", "s", 1)])
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(df).collect())
-    assert got == Counter({(5, 1, 4, False): 2, (4, 1, 4, True): 1, (None, 1, None, True): 1, (None, 0, None, True): 1})
+    assert got == Counter({(5, 2, 4, False): 2, (4, 2, 4, True): 1, (None, 2, None, True): 1, (None, 0, None, True): 1})
     assert neardup.near_groups(df.limit(0)).count() == 0
 
 
@@ -330,7 +336,7 @@ def test_repeated_windows(spark, size):
 def test_repeated_windows_of_awkward_rows(spark):
     long = " ".join(f"k{i}" for i in range(30))
     df = frame(spark, [(1, long, "en", "s", 1), (None, long, "en", "s", 1), (2, None, "en", "s", 1), (3, long + "\nand  more", "en", "s", 9)])
-    got = {r.doc_id: (r.text, r.n_chars) for r in substrings.remove_repeats(df).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in substrings.remove_repeats(clashing(df)).collect()}
     assert got == {1: (long, len(long)), None: (long, len(long)), 2: (None, None), 3: ("and more", 8)}
     assert substrings.dedup_substrings(df.limit(0)).count() == 0
 

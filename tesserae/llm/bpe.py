@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import lean
+
 CHUNK = 1 << 16  # characters of a chunk
 OVERLAP = 1 << 10  # characters that a chunk has beyond the next one's start
 _UNSURE = 16  # boundaries this near the end of a cut text may change with what follows
-_MEMORY = 500_000  # distinct pre-tokens remembered at a time, about 120 MB
+_MEMORY = 200_000  # distinct pre-tokens remembered at a time, about 50 MB; a task forgets them at its end
 
 # Where the quick pattern agrees with the general one: ASCII, Latin letters, no other digits or spaces.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ʯ]*")
@@ -107,7 +109,8 @@ class Codec:
                 self[token] = out = struct.pack(f"<{len(ids)}I", *ids)
                 return out
 
-        self.packed = Memory().__getitem__
+        self.memory = Memory()
+        self.packed = self.memory.__getitem__
 
     def encode(self, pretokens: list[str]) -> bytes:
         return b"".join(map(self.packed, pretokens))
@@ -125,6 +128,11 @@ def codec(path: str, pattern: str) -> tuple[Splitter, Codec]:
     return _codecs[path, pattern]
 
 
+def _forget() -> None:
+    for _, code in _codecs.values():
+        code.memory.clear()
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -199,7 +207,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, ov
     rows = docs.select("doc_id", "text")
     ddl = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary")
     long = F.coalesce(F.length("text") > spread, F.lit(False))
-    short = rows.where(~long).mapInArrow(_whole(path, pattern, size, overlap, digests), ddl)
+    short = rows.where(~long).mapInArrow(lean(_whole(path, pattern, size, overlap, digests), _forget), ddl)
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))
     parts = (
         rows.where(long)
@@ -207,5 +215,5 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, ov
         .select("row", "doc_id", "text", F.posexplode(starts).alias("k", "start"))
         .select("row", "doc_id", "k", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(size + overlap)).alias("part"))
     )
-    dealt = parts.repartition("row", "k").mapInArrow(_boundaries(path, pattern), "row long, doc_id long, k int, start int, own string, lengths binary")
+    dealt = parts.repartition("row", "k").mapInArrow(lean(_boundaries(path, pattern)), "row long, doc_id long, k int, start int, own string, lengths binary")
     return short.unionByName(dealt.groupBy("row").applyInArrow(_join(path, pattern, size, digests), ddl))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; one of our own only where none is named."""
+    """The folder all executors share, as the cluster names it; one of our own only where none is
+    named and driver and executors are one process, so that its local folder is everybody's."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -76,6 +84,37 @@ def least_hashed(df: DataFrame, rank: str, count: int, rows: int) -> DataFrame:
     return df if share >= 1 else df.where(F.col(rank) < int(-(2**63) + share * 2**64))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries give freed memory back by themselves
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that nothing uses any more back to the system: workers outlive their tasks, and
+    what one task has freed would count beside the next one's."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run: Callable, drop: Callable[[], None] | None = None) -> Callable:
+    """An iterator function for mapInArrow that leaves no memory behind in its worker; `drop`
+    empties what the worker remembers between rows."""
+
+    @functools.wraps(run)
+    def outer(it):
+        try:
+            yield from run(it)
+        finally:
+            if drop is not None:
+                drop()
+            release()
+
+    return outer
+
+
 def fan(spark: SparkSession) -> int:
     """How many ranges or buckets a hash exchange deals to: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

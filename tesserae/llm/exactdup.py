@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import blob, fan, saved
+from tesserae.llm.common import blob, fan, lean, saved
 
 _ROWS = 500  # texts held as Python objects at a time
 _MARK = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
@@ -129,7 +129,7 @@ def _texts(it):
 
 def repeated_fingerprints(marked: DataFrame, parts: int) -> DataFrame:
     """(fp, count) of the fingerprints that occur more than once."""
-    filters = marked.select("fp").mapInArrow(_filters(parts), "part int, slots int, filter binary")
+    filters = marked.select("fp").mapInArrow(lean(_filters(parts)), "part int, slots int, filter binary")
     return filters.groupBy("part").applyInArrow(_merge, "fp long, count long")
 
 
@@ -137,12 +137,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256 of the normalised text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = saved(rows.mapInArrow(_mark, "doc_id long, fp long, text_sha256 string"), "prints")
+    marked = saved(rows.mapInArrow(lean(_mark), "doc_id long, fp long, text_sha256 string"), "prints")
     repeated = repeated_fingerprints(marked, fan(spark))
     suspects = marked.join(repeated.select("fp"), "fp", "left_semi").select("doc_id").distinct()
     suspect_rows = rows.join(suspects, rows["doc_id"].eqNullSafe(suspects["doc_id"]), "left_semi")
     verified = (
-        suspect_rows.mapInArrow(_texts, "fp long, doc_id long, norm binary")
+        suspect_rows.mapInArrow(lean(_texts), "fp long, doc_id long, norm binary")
         .groupBy("fp", "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
@@ -160,7 +160,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `exact_groups` keeps, with all their columns."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 ORACLE = """

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import batches, buffers, pieces, saved
+from tesserae.llm.common import batches, buffers, lean, pieces, saved
 from tesserae.llm.components import components
 
 _BLOCK = 256  # members of a bucket that are compared with each other in one go
@@ -170,7 +170,7 @@ def _confirm(setting: Setting):
 def _confirmed(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
     x = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     y = x.join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("y")), "c")
-    return y.select("a", "c", "x", "y").mapInArrow(_confirm(setting), "u long, v long")
+    return y.select("a", "c", "x", "y").mapInArrow(lean(_confirm(setting)), "u long, v long")
 
 
 def _across(setting: Setting):
@@ -232,7 +232,7 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, slab: in
 def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least id reachable by links), kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = saved(rows.mapInArrow(_sign(setting), "doc_id long, n_shingles long, set_hi long, set_lo long, minima binary"), "signed")
+    signed = saved(rows.mapInArrow(lean(_sign(setting)), "doc_id long, n_shingles long, set_hi long, set_lo long, minima binary"), "signed")
     # Classes of one set; the least id stands for a class.
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["set_hi", "set_lo", "n_shingles"]
@@ -240,12 +240,12 @@ def near_groups(docs: DataFrame, setting: Setting = CONTRACT, doc_id: str = "doc
     members = filled.join(classes, key)
     member = saved(members.select("doc_id", "node").distinct(), "classes")
     nodes = saved(members.where("doc_id = node").groupBy("node").agg(F.first("minima").alias("minima")), "nodes")
-    banded = saved(nodes.mapInArrow(_bands(setting), "band int, bucket long, node long"), "bands")
+    banded = saved(nodes.mapInArrow(lean(_bands(setting)), "band int, bucket long, node long"), "bands")
     centres = banded.groupBy("band", "bucket").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "c")
     met = banded.join(centres, ["band", "bucket"]).where("node <> c").groupBy(F.col("node").alias("a"), "c").agg(F.count(F.lit(1)).alias("shared"))
     x = met.join(nodes.select(F.col("node").alias("a"), F.col("minima").alias("x")), "a")
     y = x.join(nodes.select(F.col("node").alias("c"), F.col("minima").alias("y")), "c")
-    agreed = saved(y.select("a", "c", "shared", "x", "y").mapInArrow(_agree(setting), "a long, c long, shared long"), "agreed")
+    agreed = saved(y.select("a", "c", "shared", "x", "y").mapInArrow(lean(_agree(setting)), "a long, c long, shared long"), "agreed")
     # The copies of a node's text differ in nothing that counts, so any row of that id will do.
     texts = rows.where("doc_id IS NOT NULL")
     best = agreed.groupBy("a").agg(F.max_by("c", F.struct("shared", -F.col("c"))).alias("c"))

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.bpe import _PLAIN, _QUICK
-from tesserae.llm.common import saved
+from tesserae.llm.common import lean, saved
 
 SIZE = 1024  # tokens of a sequence
 END = 2  # the id behind every document
 STEPS = 4000  # steps of the local search at most
-_MEMORY = 800_000  # distinct pre-tokens remembered at a time, about 180 MB
+_MEMORY = 200_000  # distinct pre-tokens remembered at a time, about 45 MB; a task forgets them at its end
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64()), ("ids", pa.binary())])
 
@@ -88,13 +88,19 @@ def _tokenizer(path: str) -> tuple:
             memory = _Memory(lambda token: t.encode(token, add_special_tokens=False).ids)
         else:
             memory = _Memory(tiktoken.Encoding("merges", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
-        _tokenizers[path] = (t, memory.__getitem__)
+        _tokenizers[path] = (t, memory)
     return _tokenizers[path]
 
 
+def _forget() -> None:
+    for _, memory in _tokenizers.values():
+        memory.clear()
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Packed little-endian unsigned 32-bit ids of each text."""
-    tokenizer, packed = _tokenizer(path)
+    tokenizer, memory = _tokenizer(path)
+    packed = memory.__getitem__
     split = [_QUICK.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
     odd = [t for t, parts in zip(texts, split, strict=True) if parts is None]
     whole = iter(tokenizer.encode_batch(odd, add_special_tokens=False))
@@ -258,7 +264,7 @@ def _place(places: dict[int, np.ndarray]):
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and if `with_ids` its packed ids."""
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long, ids binary"
-    cut = saved(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, end, with_ids), ddl), "pieces")
+    cut = saved(docs.select("doc_id", "text").mapInArrow(lean(_cut(tokenizer, size, end, with_ids), _forget), ddl), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `size` rows at most
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -267,4 +273,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with
     ranked = cut.join(offsets, ["length", "task"]).select(*columns, (F.col("before") + F.col("nth")).alias("rank"))
     names = {"piece": "int", "ids": "binary"}
     out = ", ".join(f"{c} {names.get(c, 'long')}" for c in columns)
-    return ranked.mapInArrow(_place(_places(plan(counts, size))), f"{out}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(_places(plan(counts, size)))), f"{out}, sequence_id long, offset long")

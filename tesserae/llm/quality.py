@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, least_hashed, pieces
+from tesserae.llm.common import buffers, lean, least_hashed, pieces
 
 _SALT = tuple(np.uint64(x) for x in (0x51ED270B, 0x2545F491, 0x3C6EF372, 0x1B873593))
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     ranked = usable.withColumn("rank", F.xxhash64("doc_id"))
     chosen = least_hashed(ranked, "rank", training.sample, usable.count()).orderBy("rank", "doc_id", "y").limit(training.sample)
     # The sample's bound makes it fit to broadcast, so no text is shuffled to meet it.
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "y", "text").mapInArrow(_example(training.buckets), "all int, rank long, y int, index binary, value binary")
+    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "y", "text").mapInArrow(lean(_example(training.buckets)), "all int, rank long, y int, index binary, value binary")
     found = examples.groupBy("all").applyInArrow(_train(training), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(training.buckets + 1, np.float32)
 
@@ -173,7 +173,7 @@ def _score(model, buckets: int):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id and score, the likelihood of label 1, of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(sent, len(weights) - 1), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_score(sent, len(weights) - 1)), "doc_id long, score double")
 
 
 def remainder(doc_id: str, modulus: int):
@@ -201,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     learn = labels.where(remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("y"))
     weights = train(docs, learn)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.mapInArrow(_good(sent, len(weights) - 1, threshold), docs.schema)
+    return docs.mapInArrow(lean(_good(sent, len(weights) - 1, threshold)), docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, fan, pieces, saved
+from tesserae.llm.common import buffers, fan, lean, pieces, saved
 
 SIZE = 20
 ANCHOR = 6
@@ -216,7 +216,7 @@ def _settle(t: pa.Table) -> pa.Table:
 def _left(b: pa.RecordBatch, size: int, texts: bool):
     """(words, removed words, what is kept) of runs of rows: the text without the removed words, as
     given where there are none, or, if not `texts`, the digest of the kept words."""
-    raw, at = buffers(b.column("text"))
+    raw, at = buffers(b.column("given").field("text"))
     places, starts = _lists(b.column("places"))
     for lo, hi, part, offsets in pieces(raw, at):
         begin, end, first = words.spans(part, offsets)
@@ -245,7 +245,7 @@ def _removed(size: int, texts: bool):
     def run(it):
         for b in it:
             for lo, hi, n, lost, kept in _left(b, size, texts):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("given").field("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     return run
 
@@ -255,12 +255,13 @@ def _rewritten(size: int, columns: list[str]):
 
     def run(it):
         for b in it:
-            given = b.column("text").is_valid()
+            given = b.column("given")
+            there = given.field("text").is_valid()
             for lo, hi, _, _, kept in _left(b, size, True):
-                out = {c: b.column(c).slice(lo, hi - lo) for c in columns}
-                out["text"] = pa.array(kept, pa.string(), mask=~np.asarray(given.slice(lo, hi - lo)))
+                out = {c: given.field(c).slice(lo, hi - lo) for c in columns}
+                out["text"] = pa.array(kept, pa.string(), mask=~np.asarray(there.slice(lo, hi - lo)))
                 if "n_chars" in out:
-                    out["n_chars"] = pc.cast(pc.utf8_length(out["text"]), b.column("n_chars").type)
+                    out["n_chars"] = pc.cast(pc.utf8_length(out["text"]), given.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
     return run
@@ -271,10 +272,10 @@ def repeated_places(rows: DataFrame, size: int = SIZE, anchor: int = ANCHOR) ->
     parts = fan(rows.sparkSession)
     sent = "part int, records binary"
     place = "doc_id long, at int, n int, open boolean"
-    found = saved(rows.mapInArrow(_segments(parts, size, anchor), sent).groupBy("part").applyInArrow(_settle, place), "segments")
+    found = saved(rows.mapInArrow(lean(_segments(parts, size, anchor)), sent).groupBy("part").applyInArrow(_settle, place), "segments")
     todo = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     near = rows.join(todo, "doc_id").select("doc_id", "text", "places")
-    told = near.mapInArrow(_windows(parts, size), sent).groupBy("part").applyInArrow(_settle_windows, place)
+    told = near.mapInArrow(lean(_windows(parts, size)), sent).groupBy("part").applyInArrow(_settle_windows, place)
     return found.where("NOT open").select("doc_id", "at", "n").union(told.select("doc_id", "at", "n"))
 
 
@@ -290,10 +291,11 @@ def _settle_windows(t: pa.Table) -> pa.Table:
 
 
 def _placed(docs: DataFrame, size: int) -> DataFrame:
-    """Every row with the repeated places of its id."""
+    """Every row, as the struct `given`, with the repeated places of its id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = repeated_places(rows, size).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
-    return docs.join(places.select(F.col("doc_id").alias("_id"), "places"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    given = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("given"))
+    return given.join(places, F.col("given.doc_id").cast("long") == F.col("doc_id"), "left").select("given", "places")
 
 
 def dedup_substrings(docs: DataFrame, size: int = SIZE, texts: bool = True) -> DataFrame:
@@ -301,13 +303,13 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, texts: bool = True) -> D
     words (as given if nothing was removed, else words joined by one space), or, if not `texts`,
     the SHA-256 of the kept words joined by one space."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _placed(rows, size).mapInArrow(_removed(size, texts), "doc_id long, n_words long, n_removed long, kept string")
+    return _placed(rows, size).mapInArrow(lean(_removed(size, texts)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """`docs` with the repeated words gone from `text`, and `n_chars` as it then is; texts meet
     their places in one join and are rewritten in the same stage."""
-    return _placed(docs, size).mapInArrow(_rewritten(size, docs.columns), docs.schema)
+    return _placed(docs, size).mapInArrow(lean(_rewritten(size, docs.columns)), docs.schema)
 
 
 def brute_force(texts: dict[int, str | None], size: int) -> dict[int, tuple[int, int, str]]:

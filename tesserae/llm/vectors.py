@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batches, buffers, saved
+from tesserae.llm.common import batches, buffers, lean, saved
 from tesserae.llm.components import components
 
 _CHUNK = 4096  # vectors of a cell that are compared with each other in one task
@@ -154,11 +154,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, blocks: int = 8, vec_
     """One row a vector: vec_id, n_links, component_id, kept."""
     given = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("embedding"))
     usable = given.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    clean = saved(usable.mapInArrow(_clean, "row long, vec_id long, label long, dim int, vector binary"), "vectors")
+    clean = saved(usable.mapInArrow(lean(_clean), "row long, vec_id long, label long, dim int, vector binary"), "vectors")
     cell = ["label", "dim", "block", "x", "y"]
-    held = clean.mapInArrow(_cells(cosine, blocks, False), f"{_HOME}, home boolean, row long")
+    held = clean.mapInArrow(lean(_cells(cosine, blocks, False)), f"{_HOME}, home boolean, row long")
     large = held.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / _CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-    rows = clean.mapInArrow(_cells(cosine, blocks, True), f"{_HOME}, home boolean, row long, vec_id long, vector binary")
+    rows = clean.mapInArrow(lean(_cells(cosine, blocks, True)), f"{_HOME}, home boolean, row long, vec_id long, vector binary")
     rows = rows.join(large, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     # A vector at home meets every chunk of its cell; a probe meets the chunks themselves.
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -15,17 +15,22 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
+_REMEMBERED = 1 << 21  # powers that a worker keeps: 32 MB
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = -(-n // 65536) * 65536  # no more than the longest piece of text needs
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = -(-n // 65536) * 65536  # no more than the longest piece of text needs
+    both = []
+    for base in (_P, _P_INV):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    if size <= _REMEMBERED:
+        _powers[:] = both
+    return both[0], both[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -120,6 +120,14 @@ def fan(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranges(df: DataFrame) -> int:
+    """How many ranges of hashes to deal the contents of `df` to: no fewer than the session's shuffle
+    partitions, and so many that one has about 64 MB of the input by Spark's estimate, where it has one
+    (a size no input has stands for none)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(fan(df.sparkSession), -(-size // (64 << 20)) if size < 10**15 else 1)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

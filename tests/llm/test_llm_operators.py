@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,11 +116,34 @@ def test_suffix_ranks():
         rank = pages.suffix_order(token, group, depth)
         seen = {}
         for i, r in enumerate(rank):
-            whole = i + depth <= 300 and group[min(i + depth - 1, 299)] == group[i]
-            assert whole == (r >= 0)
-            if whole:
-                assert seen.setdefault(int(r), tuple(token[i : i + depth])) == tuple(token[i : i + depth])
-        assert len(set(seen.values())) == len(seen)
+            own = tuple(token[i : min(i + depth, (group[i] + 1) * 30)].tolist())
+            assert seen.setdefault(int(r), own) == own
+        assert [seen[r] for r in sorted(seen)] == sorted(set(seen.values()))
+
+
+def test_equal_passages_elect_equal_suffixes():
+    rng = np.random.default_rng(2)
+    length = np.array([1, 3, 7, 8, 9, 14, 15, 16, 40, 200, 7, 40])
+    first = np.concatenate([[0], np.cumsum(length)])
+    token = rng.integers(0, 2**63, first[-1]).astype(np.uint64)
+    token[first[-2] :] = token[first[8] : first[9]]  # the last block repeats the ninth
+    place, weight, key = pages.elected(token, first, 8)
+    block = np.searchsorted(first, place, side="right") - 1
+    assert [int(weight[block == k].sum()) for k in range(12)] == [max(n - 14, 1) for n in length]
+    for k, n in enumerate(length.tolist()):
+        mine = place[block == k] - first[k]
+        for w in range(max(n - 14, 1)):  # every window of eight neighbouring suffixes elects one
+            assert any(w <= p < w + 8 for p in mine.tolist())
+    assert (place[block == 8] - first[8]).tolist() == (place[block == 11] - first[11]).tolist() and key[block == 8].tolist() == key[block == 11].tolist()
+
+
+def test_broken_markup_takes_linear_time():
+    for bad in ("<a ", "<a x=\"", "<a '", "<!x ", "<script></script ", "</p", "<div>", "<p></div>", "<"):
+        begin = time.time()
+        pages.blocks("<p>x</p>" + bad * (1_000_000 // len(bad)))
+        assert time.time() - begin < 8, bad
+    assert pages.blocks("<p>x</p><a <b>bold</b>")[0][0] == "x"
+    assert pages.blocks("<div>" * 100_000 + "deep" + "</p>" * 100_000)[0] == ["deep"]
 
 
 def test_host_repeats_go_and_unique_runs_stay(spark):
@@ -145,7 +169,17 @@ def test_suffix_arrays_alone(spark):
     rows = [(k, "http://a.org/x", f"<nav><p>{menu}</p></nav><article><p>{t}</p><p>{foot}</p></article>") for k, t in own.items()]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     assert {r.page_id: r.text for r in pages.extract(df, structure=False).collect()} == own
-    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"{t}\n{foot}" for k, t in own.items()}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == own  # most pages have the foot
+
+
+def test_shared_text_of_an_article_stays_where_few_pages_or_copies_share_it(spark):
+    rng = random.Random(6)
+    told, whole = prose(rng, 15, 9000), prose(rng, 60, 9000)
+    rows = [(k, "http://c.org/x", f"<article><p>{prose(rng, 25, 9000)}</p>{f'<p>{told}</p>' if k < 5 else ''}</article>") for k in range(12)]
+    rows += [(k, "http://d.org/x", f"<article><h1>Same</h1><p>{whole}</p></article>") for k in range(20, 32)]  # copies of one article
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(got[k].endswith(told) == (k < 5) for k in range(12)) and all(got[k] == f"Same\n{whole}" for k in range(20, 32))
 
 
 def test_text_beside_an_article_stays_unless_the_host_repeats_it(spark):
@@ -250,8 +284,16 @@ def test_counting_quotient_filters_merge_losslessly():
         merged = merged.merge(exactdup.CountingQuotientFilter.unpack(exactdup.CountingQuotientFilter.of(p).pack()))
     want = Counter(np.concatenate(parts).tolist())
     assert dict(zip(merged.prints().tolist(), merged.counts.tolist())) == dict(want)
-    again = [x for k, f in merged.cut(7) for x in f.prints().tolist()]
-    assert again == sorted(want)
+    for lead in (1, 3, 9):
+        cut = list(merged.cut(lead))
+        assert [x for k, f in cut for x in f.prints(k).tolist()] == sorted(want)
+        assert [x for k, f in cut for x in exactdup.CountingQuotientFilter.unpack(f.pack()).prints(k).tolist()] == sorted(want)
+        k, one = cut[0]
+        both = one.merge(exactdup.CountingQuotientFilter.unpack(one.pack()))
+        assert both.prints(k).tolist() == one.prints(k).tolist() and both.counts.tolist() == (2 * one.counts).tolist()
+    rare = exactdup.CountingQuotientFilter.of(np.array([5, 2**63, 5, 2**64 - 1], np.uint64))
+    assert rare.merge(exactdup.CountingQuotientFilter.of(np.empty(0, np.uint64))).prints().tolist() == [5, 2**63, 2**64 - 1]
+    assert exactdup.merged([rare] * 5).counts.tolist() == [10, 5, 5]
 
 
 def test_exact_groups(spark):
@@ -419,7 +461,7 @@ def test_quality_learns_from_labels(spark):
 def test_hidden_markov_scores(spark):
     rng = random.Random(7)
     texts = {d: prose(rng, rng.randrange(0, 60), 50 if d % 2 else 80) for d in range(150)} | {900: None, 901: "", 902: "Ab aB AB", 903: prose(rng, 3000, 50)}
-    shape = hmm.Shape(states=3, class_bits=6, sample=40, sample_rounds=3, rounds=2, stretch=16)
+    shape = hmm.Shape(states=3, rounds=3)
     rows = [(d, t, "en", "s", 1) for d, t in texts.items()] + [(None, "w1 w2", "en", "s", 1), (902, "Ab aB AB", "en", "s", 1)]
     got = hmm.score(clashing(frame(spark, rows)), shape).collect()
     assert len(got) == len(rows)
@@ -441,18 +483,18 @@ def test_training_reads_whole_texts_to_the_end(spark):
     texts = {d: " ".join(["x"] * 20 + [rng.choice("ab" if j // 8 % 2 else "cd") for j in range(160)]) for d in range(60)}
     df = frame(spark, texts).select("doc_id", "text")
     base = np.ones(65)
-    got = hmm.train(df, base, hmm.Shape(states=2, class_bits=6, sample=1, sample_rounds=0, rounds=2, stretch=20, settled=1e-6))
+    got = hmm.train(df.where("crc32(cast(cast(doc_id AS string) AS binary)) % 10 <> 0"), base, hmm.Shape(states=2, rounds=30, settled=1e-4), 6)
     learnt = [t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
     raw, at = pages.buffers(pages.pa.array(learnt))
     tokens, offsets, _ = hmm._sequences(raw, at, 6)
     want, before = hmm.Model.guess(base, 2), -np.inf
     for n in range(1, 1000):
-        counts, said = hmm.estep(want, tokens, offsets, 20)
+        counts, said = hmm.estep(want, tokens, offsets, 50)
         want = want.fitted(counts, 20.0)
-        if n >= 2 and said / len(tokens) - before < 1e-6:
+        if said / len(tokens) - before < 1e-4:
             break
         before = said / len(tokens)
-    assert n > 2 and np.allclose(got.step, want.step) and np.allclose(got.emit, want.emit)
+    assert n > 2 and np.allclose(got.step, want.step, rtol=1e-3) and np.allclose(got.emit, want.emit, rtol=1e-2)
 
 
 def test_forward_and_expected_counts():
@@ -479,7 +521,8 @@ def test_forward_and_expected_counts():
             own += p * c
         counts += own / total
         assert math.isclose(got[k], math.log10(total), rel_tol=1e-9)
-    assert np.allclose(hmm.expected(model, tokens, offsets, 100), counts)
+    for room in (1, 2, 3, 100):
+        assert np.allclose(hmm.estep(model, tokens, offsets, room)[0], counts, rtol=1e-4, atol=1e-5)
     better = model.fitted(counts, 0.001)
     assert hmm.forward(better, tokens, offsets).sum() > got.sum()
 

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUM = r"([\d.]+)"
+# A fixed value: the fields of a long name, in their order.
 LONG_NAME = (
-    r"(?i)No(\d+)\s+" + _NUM + r"w?\s+" + _NUM + r"nm?\s+" + _NUM + r"w?\s+" + _NUM + r"(?:nm)?(?:-\d+)?\s+"
-    + (_NUM + r"\s+") * 5 + r"([\d.min]+)\s+([\d.minh]+)\s+"
-    + r"(top|mid|bottom|Middle|Top|Bottom|Position-\w+|all|bpttom)?\s*(\d+)[\s-]+(\d+)(?:-.*)?"
+    r"(?i)No(\d+)\s+"  # sample
+    r"([\d.]+)w?\s+"  # al2o3_power
+    r"([\d.]+)nm?\s+"  # al2o3_thickness
+    r"([\d.]+)w?\s+"  # fe_power
+    r"([\d.]+)(?:nm)?(?:-\d+)?\s+"  # fe_thickness
+    r"([\d.]+)\s+"  # ar_flow
+    r"([\d.]+)\s+"  # h2_flow
+    r"([\d.]+)\s+"  # c2h4_flow
+    r"([\d.]+)\s+"  # anneal_temp
+    r"([\d.]+)\s+"  # growth_temp
+    r"([\d.min]+)\s+"  # anneal_time
+    r"([\d.minh]+)\s+"  # growth_time
+    r"(top|mid|bottom|Middle|Top|Bottom|Position-\w+|all|bpttom)?\s*"  # position
+    r"(\d+)[\s-]+"  # magnification
+    r"(\d+)(?:-.*)?"  # repeat_id
 )
 LONG_FIELDS = ["sample", "al2o3_power", "al2o3_thickness", "fe_power", "fe_thickness", "ar_flow", "h2_flow", "c2h4_flow", "anneal_temp", "growth_temp", "anneal_time", "growth_time", "position", "magnification", "repeat_id"]
 ALIASES = {"bpttom": "bottom", "middle": "mid"}

@@ -53,16 +53,63 @@ def curvature_label(value: Column) -> Column:
     return F.when(value < STRAIGHT, "Straight").when(value < WAVY, "Wavy").otherwise("Coiled")
 
 
-def wave_rows(points: DataFrame, branch: str, tube_px: float = 4.0) -> DataFrame:
-    """One row for each branch that has waves."""
-    schema = pa.schema([(branch, pa.int64()), ("ratio", pa.float64()), ("height_px", pa.float64()), ("wavelength_px", pa.float64()), ("tortuosity", pa.float64())])
+def profiles(points: DataFrame, branch: str) -> DataFrame:
+    """Each branch of 20 points or more seen along its principal axis: mean places (s) and
+    heights (level) of columns one pixel wide, less their straight line, smoothed over five columns."""
+    axis = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
+    shape = points.groupBy(branch).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
+    turned = points.join(shape.where("n >= 20").select(branch, "mx", "my", axis.alias("a")), branch)
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    seen = turned.select(branch, (dx * F.cos("a") + dy * F.sin("a")).alias("s"), (dy * F.cos("a") - dx * F.sin("a")).alias("d"))
+    one = Window.partitionBy(branch)
+    columns = seen.withColumn("c", F.round(F.col("s") - F.min("s").over(one)).cast("int")).groupBy(branch, "c").agg(F.avg("s").alias("s"), F.avg("d").alias("d"))
+    flat = columns.select(branch, "c", "s", (F.col("d") - F.regr_intercept("d", "s").over(one) - F.regr_slope("d", "s").over(one) * F.col("s")).alias("r"), F.count(F.lit(1)).over(one).alias("m"))
+    return flat.where("m >= 12").select(branch, "c", "s", (F.sum("r").over(one.orderBy("c").rowsBetween(-2, 2)) / 5).alias("level"))
+
+
+def turns(profile: DataFrame, branch: str, spacing: float) -> DataFrame:
+    """Of each branch its peaks (kind 1) and troughs (-1) in order, `spacing` apart and by turns:
+    of rivals the more extreme stays. `arc` and `span` are the profile's length and its ends' distance."""
+    w = Window.partitionBy(branch).orderBy("c")
+    rise, fall = F.col("level") - F.lag("level").over(w), F.lead("level").over(w) - F.col("level")
+    kind = F.when((rise >= 0) & (fall < 0), 1).when((rise <= 0) & (fall > 0), -1)
+    step = F.hypot(F.col("s") - F.lag("s").over(w), rise)
+    told = profile.select(branch, "c", "s", "level", kind.alias("kind"), step.alias("step"))
+    found = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("s", F.col("level").alias("v"), "kind"))))
+    ends = F.hypot(F.max_by("s", "c") - F.min_by("s", "c"), F.max_by("level", "c") - F.min_by("level", "c"))
+    each = told.groupBy(branch).agg(found.alias("found"), F.sum("step").alias("arc"), ends.alias("span"), (F.max("level") - F.min("level")).alias("range"))
+    kept = F.aggregate(
+        "found",
+        F.slice("found", 1, 0),
+        lambda out, now: F.when(F.size(out) == 0, F.array(now)).otherwise(
+            F.when((now["kind"] != F.element_at(out, -1)["kind"]) & (now["s"] - F.element_at(out, -1)["s"] >= spacing), F.concat(out, F.array(now)))
+            .when(now["kind"] * now["v"] > now["kind"] * F.element_at(out, -1)["v"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(now)))
+            .otherwise(out)
+        ),
+    )
+    return each.where("range >= 2").select(branch, F.when(F.size("found") > 0, kept).otherwise(F.col("found")).alias("turns"), "arc", "span")
 
-    def run(t: pa.Table) -> pa.Table:
-        found = Y.waviness(np.column_stack([np.asarray(t.column("y"), float), np.asarray(t.column("x"), float)]), tube_px)
-        row = {branch: t.column(branch)[0].as_py()} | (found or {})
-        return pa.table({f.name: pa.array([row[f.name]] if found else [], f.type) for f in schema}, schema=schema)
 
-    return points.select(branch, "y", "x").groupBy(branch).applyInArrow(run, f"{branch} long, ratio double, height_px double, wavelength_px double, tortuosity double")
+def wave_rows(points: DataFrame, branch: str, tube_px: float = 4.0) -> DataFrame:
+    """One row for each branch that has waves: height over wavelength, height and wavelength,
+    weighted by wavelength, from a turn of one kind to the next of it, and the profile's tortuosity."""
+    spacing = max(3.0, 2 * tube_px)
+    t = turns(profiles(points, branch), branch, spacing)
+    three = lambda i: (F.element_at("turns", i), F.element_at("turns", i + 1), F.element_at("turns", i + 2))
+
+    def wave(i: Column) -> Column:
+        a, b, c = three(i)
+        whole = (a["kind"] == c["kind"]) & (a["kind"] != b["kind"]) & (c["s"] - a["s"] > 1.5 * spacing)
+        return F.when(whole, F.struct(((F.abs(b["v"] - a["v"]) + F.abs(b["v"] - c["v"])) / 2).alias("h"), (c["s"] - a["s"]).alias("l")))
+
+    waves = F.filter(F.transform(F.sequence(F.lit(1), F.size("turns") - 2), wave), lambda x: x.isNotNull())
+    held = t.where(F.size("turns") >= 3).select(branch, "arc", "span", waves.alias("waves")).where(F.size("waves") > 0)
+    total = lambda f: F.aggregate("waves", F.lit(0.0), lambda s, x: s + f(x))
+    length = total(lambda x: x["l"])
+    return held.select(
+        branch, (total(lambda x: x["h"]) / length).alias("ratio"), (total(lambda x: x["h"] * x["l"]) / length).alias("height_px"), (total(lambda x: x["l"] * x["l"]) / length).alias("wavelength_px"),
+        F.when(F.col("span") > 0, F.greatest(F.lit(1.0), F.col("arc") / F.col("span"))).otherwise(1.0).alias("tortuosity"),
+    )
 
 
 def mask_rows(pixels: DataFrame, image: str) -> DataFrame:
@@ -107,4 +154,4 @@ def suppress_segments(scored: DataFrame, image: str, k: int = 10, overlap: float
     """The best segments of an image whose pixels overlap little with better ones."""
     from tesserae.operators.graph import suppress
 
-    return suppress(scored, image, "members", "score", k, overlap)
+    return suppress(scored, image, "members", "score", k, overlap, of_smaller=True, reached=True)

@@ -114,25 +114,6 @@ def test_quality_bands(spark):
     assert [(r[0], r[1]) for r in df.select(score, numeric.quality_band(score)).collect()] == [(100, "high"), (0, "low"), (0, "low")]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.floats(-5, 5), min_size=3, max_size=40))
-def test_smoothing_keeps_the_middle(values):
-    v = np.array(values)
-    s = geometry.smooth(v)
-    size = min(5, len(v)) - (min(5, len(v)) % 2 == 0)
-    assert len(s) == len(v) and math.isclose(s[len(v) // 2], v[len(v) // 2 - size // 2 : len(v) // 2 + size // 2 + 1].mean(), abs_tol=1e-9)
-
-
-def test_waves_of_a_sine():
-    x = np.arange(240)
-    line = np.column_stack([np.zeros(240), x]).astype(float)
-    sine = np.column_stack([8 * np.sin(2 * np.pi * x / 40), x])
-    assert geometry.waviness(line) is None
-    got = geometry.waviness(sine)
-    assert 0.2 < got["ratio"] < 0.6 and abs(got["wavelength_px"] - 40) < 4 and got["tortuosity"] > 1
-    assert geometry.waviness(sine[:10]) is None
-
-
 def test_skeleton_figures():
     cross = np.zeros((21, 21), int)
     cross[10, :] = cross[:, 10] = 1

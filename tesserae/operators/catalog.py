@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +74,58 @@ def resolve(df: DataFrame, key: Column, rank: Column) -> DataFrame:
     )
 
 
-def aligned(left: DataFrame, right: DataFrame, order_by: list[str], name: str) -> DataFrame:
-    """Two ordered streams paired by position, within each name so that no one task orders
-    all rows; `ok` says whether both sides have the pair."""
-    number = lambda df, side: df.withColumn("_rn", F.row_number().over(Window.partitionBy(name).orderBy(*order_by))).select(F.col(name), "_rn", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != name])
-    out = number(left, "l").join(number(right, "r"), [name, "_rn"], "full_outer")
-    return out.withColumnRenamed("_rn", "position")
+def aligned(rows: DataFrame, summary: DataFrame, group: str, order_by: str, name: str, deleted: str) -> DataFrame:
+    """Two ordered streams of a group paired one after the other. Rows whose name is the next
+    one of the summary's pair with it; deleted rows of another name are skipped; anything else is a
+    failure, and what comes after it stays open.
+
+    One row a row or unmatched summary row: group, `id` and `other` (`order_by` of either side),
+    name and status: paired, skipped, failed (the first mismatch of a group, or a row left over) or
+    open. A group's names, in order, are held in its task."""
+    a = rows.select(F.col(group).alias("g"), F.col(order_by).cast("long").alias("id"), F.lower(name).alias("name"), F.coalesce(F.col(deleted).cast("boolean"), F.lit(False)).alias("gone"))
+    b = summary.select(F.col(group).alias("g"), F.col(order_by).cast("long").alias("id"), F.lower(name).alias("name"))
+    kind = a.schema["g"].dataType.simpleString()
+    out = a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(_pair_up, f"g {kind}, id long, other long, name string, status string")
+    return out.withColumnRenamed("g", group)
+
+
+def _pair_up(rows: pa.Table, summary: pa.Table) -> pa.Table:
+    mine, theirs = ([x for x in t.sort_by("id").to_pylist()] for t in (rows, summary))
+    out, at, broken = [], 0, False
+    for r in mine:
+        here = at < len(theirs)
+        if broken:
+            out.append((r["g"], r["id"], None, r["name"], "open"))
+        elif here and r["name"] == theirs[at]["name"]:
+            out.append((r["g"], r["id"], theirs[at]["id"], r["name"], "paired"))
+            at += 1
+        else:
+            broken = not r["gone"]
+            out.append((r["g"], r["id"], None, r["name"], "failed" if broken else "skipped"))
+    for x in theirs[at:]:
+        out.append((x["g"], None, x["id"], x["name"], "open" if broken else "failed"))
+    kind = (rows if rows.num_rows else summary).schema.field("g").type
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("g", "id", "other", "name", "status"), columns, (kind, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
+
+
+def require_aligned(pairs: DataFrame) -> DataFrame:
+    """The pairs alone; an error where any row has failed to pair."""
+    bad = F.raise_error(F.concat(F.lit("alignment failed at "), F.coalesce(F.col("id").cast("string"), F.lit("the end")), F.lit(" "), F.coalesce("name", F.lit(""))))
+    return pairs.where(F.when(F.col("status") == "failed", bad.cast("boolean")).otherwise(F.col("status") == "paired"))
+
+
+def alternate(df: DataFrame, group: list[str], order_by: list[Column], train: Column, test: Column) -> DataFrame:
+    """Rows of a group in order go to train and test by turns until the smaller part is full,
+    then to the larger one; rows beyond both are a reserve. `train` and `test` are the group's numbers."""
+    i = F.row_number().over(Window.partitionBy(*group).orderBy(*order_by)) - 1
+    both = df.withColumn("_i", i).withColumn("_a", train).withColumn("_b", test)
+    part = (
+        F.when(F.col("_i") >= F.col("_a") + F.col("_b"), "reserve")
+        .when(F.col("_i") < 2 * F.least("_a", "_b"), F.when(F.col("_i") % 2 == 0, "train").otherwise("test"))
+        .otherwise(F.when(F.col("_a") >= F.col("_b"), "train").otherwise("test"))
+    )
+    return both.withColumn("part", part).drop("_i", "_a", "_b")
 
 
 def valid_ids(ids: Column) -> Column:

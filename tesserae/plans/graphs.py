@@ -10,27 +10,21 @@ from tesserae.plans.registry import Tables, query
 
 LINKS = """
 links AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'process_mechanism' WHEN 'N' THEN 'mechanism_morphology' ELSE 'process_morphology' END AS relation,
-    CASE l_returnflag WHEN 'N' THEN 'mechanism:' || (l_partkey % 40) ELSE 'process:' || (l_suppkey % 30) END AS source, CASE l_returnflag WHEN 'A' THEN 'mechanism:' || (l_partkey % 40) ELSE 'morphology:' || (l_partkey % 25) END AS target,
+  SELECT l_orderkey * 10 + l_linenumber AS id,
+    CASE WHEN l_returnflag = 'A' THEN 'process_mechanism' WHEN l_returnflag = 'R' THEN 'process_morphology' WHEN l_linenumber % 2 = 0 THEN 'morphology_performance' ELSE 'mechanism_morphology' END AS relation,
+    CASE WHEN l_returnflag IN ('A', 'R') THEN 'process:' || l_suppkey WHEN l_linenumber % 2 = 0 THEN 'morphology:' || (l_partkey % 25) ELSE 'mechanism:' || l_partkey END AS source,
+    CASE WHEN l_returnflag = 'A' THEN 'mechanism:' || l_partkey WHEN l_returnflag = 'R' OR l_linenumber % 2 = 1 THEN 'morphology:' || (l_partkey % 25) ELSE 'performance:' || (l_suppkey % 7) END AS target,
     CASE WHEN l_linestatus = 'O' THEN 'increase' ELSE 'decrease' END AS direction, round(l_discount * 8 + 0.15, 4) AS confidence
-  FROM lineitem WHERE l_linenumber <= 2 AND l_quantity <= 3)"""
-
-
-def all_links(t: Tables) -> DataFrame:
-    """A link for each line item."""
-    return links_of(t.lineitem)
+  FROM lineitem)"""
 
 
 def links(t: Tables) -> DataFrame:
-    """The links that LINKS names, for queries that are compared with SQL."""
-    return links_of(t.lineitem.where("l_linenumber <= 2 AND l_quantity <= 3"))
-
-
-def links_of(items: DataFrame) -> DataFrame:
-    return items.selectExpr(
-        "l_orderkey * 10 + l_linenumber AS id", "CASE l_returnflag WHEN 'A' THEN 'process_mechanism' WHEN 'N' THEN 'mechanism_morphology' ELSE 'process_morphology' END AS relation",
-        "CASE l_returnflag WHEN 'N' THEN concat('mechanism:', l_partkey % 40) ELSE concat('process:', l_suppkey % 30) END AS source",
-        "CASE l_returnflag WHEN 'A' THEN concat('mechanism:', l_partkey % 40) ELSE concat('morphology:', l_partkey % 25) END AS target",
+    """A link for each line item, as LINKS says it."""
+    return t.lineitem.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id",
+        "CASE WHEN l_returnflag = 'A' THEN 'process_mechanism' WHEN l_returnflag = 'R' THEN 'process_morphology' WHEN l_linenumber % 2 = 0 THEN 'morphology_performance' ELSE 'mechanism_morphology' END AS relation",
+        "CASE WHEN l_returnflag IN ('A', 'R') THEN concat('process:', l_suppkey) WHEN l_linenumber % 2 = 0 THEN concat('morphology:', l_partkey % 25) ELSE concat('mechanism:', l_partkey) END AS source",
+        "CASE WHEN l_returnflag = 'A' THEN concat('mechanism:', l_partkey) WHEN l_returnflag = 'R' OR l_linenumber % 2 = 1 THEN concat('morphology:', l_partkey % 25) ELSE concat('performance:', l_suppkey % 7) END AS target",
         "CASE WHEN l_linestatus = 'O' THEN 'increase' ELSE 'decrease' END AS direction", "round(l_discount * 8 + 0.15, 4) AS confidence",
     )
 
@@ -40,7 +34,7 @@ def degree_counts(t: Tables) -> DataFrame:
     return G.degrees(links(t))
 
 
-@query("J14 J16", f"""WITH {LINKS}, e AS (SELECT source AS a, target AS b FROM links WHERE relation <> 'process_morphology' AND confidence > 0.7 UNION SELECT target, source FROM links WHERE relation <> 'process_morphology' AND confidence > 0.7),
+@query("J14", f"""WITH {LINKS}, e AS (SELECT source AS a, target AS b FROM links WHERE relation <> 'process_morphology' AND confidence > 0.7 UNION SELECT target, source FROM links WHERE relation <> 'process_morphology' AND confidence > 0.7),
 h0 AS (SELECT 'process:1' AS node), h1 AS (SELECT DISTINCT b AS node FROM h0 JOIN e ON a = node WHERE b NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT b AS node FROM h1 JOIN e ON a = node WHERE b NOT IN (SELECT node FROM h0) AND b NOT IN (SELECT node FROM h1))
 SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
 def subgraph(t: Tables) -> DataFrame:
@@ -48,6 +42,18 @@ def subgraph(t: Tables) -> DataFrame:
     return G.expand(links(t).where("confidence > 0.7"), seeds, 2, ["process_mechanism", "mechanism_morphology"])
 
 
+@query("J16", f"""WITH {LINKS}, w AS (SELECT source AS a, target AS b, confidence AS c FROM links UNION ALL SELECT target, source, confidence FROM links), m AS (SELECT a, b, max(c) AS c FROM w WHERE a <> b GROUP BY 1, 2),
+near AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM m QUALIFY n <= 3), p1 AS (SELECT DISTINCT source AS node, [source] AS path FROM links WHERE relation = 'process_mechanism'),
+p2 AS (SELECT node, CASE WHEN b IS NULL THEN path ELSE list_append(path, b) END AS path FROM p1 LEFT JOIN near ON a = path[len(path)] AND n = 1),
+p3 AS (SELECT node, any_value(path) AS path, arg_min(b, n) AS b FROM p2 LEFT JOIN near ON a = path[len(path)] AND NOT list_contains(path, b) GROUP BY node)
+SELECT node, array_to_string(CASE WHEN b IS NULL THEN path ELSE list_append(path, b) END, '>') AS path FROM p3""")
+def greedy_paths(t: Tables) -> DataFrame:
+    """From each process the path that always goes to the best neighbour it hasn't visited."""
+    ln = links(t)
+    seeds = ln.where("relation = 'process_mechanism'").select(F.col("source").alias("node")).distinct()
+    return G.greedy_paths(ln, seeds, 3).select("node", F.array_join("path", ">").alias("path"))
+
+
 @query("J12 J13 K03", f"""WITH {LINKS}, g AS (SELECT * FROM links WHERE confidence >= 0.6), s AS (SELECT source AS head, target AS tail, arg_max(id, (confidence, -id)) AS s_id, max(confidence) AS s_conf FROM g WHERE relation = 'process_morphology' GROUP BY 1, 2)
 SELECT a.id AS a_id, b.id AS b_id, s_id, a.source AS head, a.target AS mid, b.target AS tail, round((a.confidence + b.confidence) / 2 + coalesce(0.1 * s_conf, 0), 6) AS score
 FROM g a JOIN g b ON a.relation = 'process_mechanism' AND b.relation = 'mechanism_morphology' AND a.target = b.source LEFT JOIN s ON s.head = a.source AND s.tail = b.target
@@ -85,19 +91,31 @@ def chain_classes(t: Tables) -> DataFrame:
     return c.select("ids", "score", "chain_type", "rank")
 
 
-@query("J15", None)
+ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in G.TRANSITIONS)
+
+
+@query("J15", f"""WITH {LINKS}, ok(first, next) AS (VALUES {ALLOWED}), f AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, id) <= 20),
+p1 AS (SELECT id AS i1, source AS head, target AS tail, relation, confidence AS c FROM links WHERE relation = 'process_mechanism' AND confidence >= 0.9),
+p2 AS (SELECT i1, f.id AS i2, head, f.target AS tail, f.relation, f.confidence AS c FROM p1 JOIN f ON f.source = p1.tail AND f.id <> i1 JOIN ok ON first = p1.relation AND next = f.relation),
+p3 AS (SELECT head, f.target AS tail, f.confidence AS c FROM p2 JOIN f ON f.source = p2.tail AND f.id <> i1 AND f.id <> i2 JOIN ok ON first = p2.relation AND next = f.relation)
+SELECT length, head, tail, count(*) AS n, round(max(c), 4) AS best FROM (SELECT 1 AS length, head, tail, c FROM p1 UNION ALL SELECT 2, head, tail, c FROM p2 UNION ALL SELECT 3, head, tail, c FROM p3) GROUP BY 1, 2, 3""")
 def path_three_hops(t: Tables) -> DataFrame:
     """Paths along allowed transitions of up to three links, counted by length and ends."""
     allowed = t.spark.createDataFrame(G.TRANSITIONS, "first string, then string")
-    ln = all_links(t)
+    ln = links(t)
     paths = G.grow(ln, ln.where("relation = 'process_mechanism' AND confidence >= 0.9"), 2, transitions=allowed)
     return paths.groupBy(F.size("path").alias("length"), F.element_at("path", 1)["source"].alias("head"), F.element_at("path", -1)["target"].alias("tail")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.element_at("path", -1)["confidence"]), 4).alias("best"))
 
 
-@query("K08 K09 D07", None)
+@query("K08 D07", PATHS.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT head, ids, score, row_number() OVER (PARTITION BY head ORDER BY score DESC, array_to_string(ids, '-') DESC) AS r FROM sc),
+walk AS (SELECT DISTINCT head, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[][]) AS taken, CAST([] AS DOUBLE[]) AS scores FROM c
+ UNION ALL SELECT head, r, CASE WHEN ok THEN list_append(taken, ids) ELSE taken END, CASE WHEN ok THEN list_append(scores, score) ELSE scores END
+ FROM (SELECT w.head, c.r, w.taken, w.scores, c.ids, c.score, coalesce(list_max(list_transform(w.taken, lambda x: len(list_intersect(c.ids, x)) / len(c.ids))), 0) <= 0.6 AS ok FROM walk w JOIN c ON c.head = w.head AND c.r = w.r + 1 WHERE len(w.taken) < 5)),
+done AS (SELECT head, arg_max(taken, r) AS taken, arg_max(scores, r) AS scores FROM walk GROUP BY head)
+SELECT head, CAST(i AS INT) AS rank, array_to_string(taken[i], '-') AS id, scores[i] AS score FROM (SELECT head, taken, scores, unnest(range(1, len(taken) + 1)) AS i FROM done)""")
 def suppressed_paths(t: Tables) -> DataFrame:
-    """Of each head the five best paths that share at most 60 % of their links with a better one."""
-    p = scored_paths(all_links(t)).select(F.element_at("path", 1)["source"].alias("head"), F.col("ids").alias("id"), F.split("ids", "-").alias("members"), "score")
+    """Of each head the five best paths of which no better one has more than 60 % of the links."""
+    p = scored_paths(links(t)).select(F.element_at("path", 1)["source"].alias("head"), F.col("ids").alias("id"), F.split("ids", "-").alias("members"), "score")
     return G.suppress(p, "head", "members", "score", 5)
 
 

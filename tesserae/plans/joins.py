@@ -56,13 +56,18 @@ def group_back(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") - F.avg("l_extendedprice").over(w)).alias("d"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-@query("J10 J11", """
-WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type = 'click')
-SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.p, b.p) AS position, a.event_id AS l_event_id, b.event_id AS r_event_id FROM a FULL JOIN b ON a.user_id = b.user_id AND a.p = b.p""")
+@query("J10", """
+WITH e AS (SELECT user_id, event_id AS id, 'img' || event_id AS name, event_id % 5 = 0 AS gone, event_id % 10 = 0 OR event_type = 'error' AND user_id % 7 = 0 AS absent, user_id % 7 = 0 AND event_type = 'error' AND event_id % 5 <> 0 AS bad FROM events),
+f AS (SELECT *, min(CASE WHEN bad THEN id END) OVER (PARTITION BY user_id) AS first FROM e)
+SELECT user_id, id, CASE WHEN NOT absent AND (first IS NULL OR id < first) THEN id END AS other, name, CASE WHEN id = first THEN 'failed' WHEN id > first THEN 'open' WHEN absent THEN 'skipped' ELSE 'paired' END AS status FROM f
+UNION ALL SELECT user_id, NULL, id, name, 'open' FROM f WHERE NOT absent AND id > first""")
 def ordered_alignment(t: Tables) -> DataFrame:
-    """Two ordered streams paired by their places, with what has no partner."""
-    side = lambda kind: t.events.where(F.col("event_type") == kind).select("user_id", "event_id")
-    return C.aligned(side("view"), side("click"), ["event_id"], "user_id")
+    """Images of a run against its summary, in order: summaries lack every tenth image, which is
+    deleted, and, for some runs, images that aren't, from which on nothing pairs."""
+    images = t.events.select("user_id", "event_id", F.concat(F.lit("IMG"), "event_id").alias("name"), (F.col("event_id") % 5 == 0).alias("is_deleted"), "event_type")
+    absent = (F.col("event_id") % 10 == 0) | ((F.col("event_type") == "error") & (F.col("user_id") % 7 == 0))
+    summary = images.where(~absent).select("user_id", "event_id", F.lower("name").alias("name"))
+    return C.aligned(images, summary, "user_id", "event_id", "name", "is_deleted")
 
 
 @query("J21", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 10 = 0 AND (q.p_name = part.p_name OR (q.p_brand = part.p_brand AND q.p_size = part.p_size)))")
@@ -89,9 +94,10 @@ def compared_results(t: Tables) -> DataFrame:
     return best.where("now IS NOT NULL AND was IS NOT NULL").withColumn("delta", F.col("now") - F.col("was"))
 
 
-@query("J11 P23", "SELECT 'a b' AS stem, 1 AS n WHERE false")
-def stem_lookup_misses(t: Tables) -> DataFrame:
-    """Normalised stems that have no partner: none here, as every stem is its own."""
-    a = t.pages.select(F.regexp_replace(parsing.stem(F.col("url")), " ", "_").alias("s"))
-    miss = a.join(a.select(F.col("s").alias("k")).distinct(), F.col("s") == F.col("k"), "left_anti")
-    return miss.select(F.col("s").alias("stem"), F.lit(1).alias("n"))
+@query("J11 F22 P23", "SELECT p_size AS size, count(*) FILTER (WHERE p_partkey % 4 <> 0) AS found, count(*) FILTER (WHERE p_partkey % 4 = 0) AS missed FROM part GROUP BY p_size")
+def stem_lookup(t: Tables) -> DataFrame:
+    """File paths looked up by normalised stem in a table that lacks every fourth: found and missed."""
+    paths = t.part.select("p_size", F.concat(F.lit("/data/run 1/no "), "p_partkey", F.lit(" mid.TIF")).alias("path"))
+    table = t.part.where("p_partkey % 4 <> 0").select(F.concat(F.lit("no_"), "p_partkey", F.lit("_mid")).alias("k"), F.lit(1).alias("there"))
+    met = paths.join(table, F.regexp_replace(parsing.stem(F.col("path")), " ", "_") == F.col("k"), "left")
+    return met.groupBy(F.col("p_size").alias("size")).agg(F.count("there").alias("found"), F.count_if(F.col("there").isNull()).alias("missed"))

@@ -120,6 +120,78 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, text string")
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(book: zipfile.ZipFile) -> Iterator[tuple[str, int, list[str]]]:
+    """(sheet, row number, cells) of a workbook; shared and inline texts resolved, gaps empty."""
+    names = set(book.namelist())
+    shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in x.iter(f"{_SHEET}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+    titles = [x.get("name") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+    for k, title in enumerate(titles, 1):
+        if f"xl/worksheets/sheet{k}.xml" not in names:
+            continue
+        for r, row in enumerate(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_SHEET}row"), 1):
+            cells: list[str] = []
+            for c in row.iter(f"{_SHEET}c"):
+                letters = "".join(x for x in c.get("r") or "" if x.isalpha())
+                column = 0
+                for x in letters:
+                    column = column * 26 + ord(x) - 64
+                cells += [""] * (column - 1 - len(cells))
+                value = c.find(f"{_SHEET}v")
+                said = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if value is None else value.text or ""
+                cells.append(shared[int(said)] if c.get("t") == "s" else said)
+            yield title, int(row.get("r") or r), cells
+
+
+def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all sheets of workbooks, which are zipped XML: path, sheet, row, cells."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string()))])
+        for b in it:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "sheet": s, "row": r, "cells": c} for s, r, c in _sheet_rows(z)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(folder)
+    return files.select("path", "content").mapInArrow(run, "path string, sheet string, row int, cells array<string>")
+
+
+def read_slides(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of the slides of presentations, which are zipped XML: path, slide, text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+        schema = pa.schema([("path", pa.string()), ("slide", pa.int32()), ("text", pa.string())])
+        for b in it:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                out = []
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in z.namelist():
+                        if name.startswith("ppt/slides/slide") and name.endswith(".xml"):
+                            tree = ElementTree.fromstring(z.read(name))
+                            said = "\n".join("".join(t.text or "" for t in p.iter(f"{draw}t")) for p in tree.iter(f"{draw}p"))
+                            out.append({"path": path, "slide": int(name[16:-4]), "text": said})
+                yield pa.RecordBatch.from_pylist(sorted(out, key=lambda x: x["slide"]), schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pptx").load(folder)
+    return files.select("path", "content").mapInArrow(run, "path string, slide int, text string")
+
+
+def put(spark: SparkSession, path: str, data: bytes, seconds: int | None = None) -> None:
+    """A small file, by the file system of its path; its time is set where given."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    out.write(data)
+    out.close()
+    if seconds is not None:
+        fs.setTimes(target, seconds * 1000, -1)
+
+
 def markdown_pages(text: Column) -> Column:
     """Sections of a Markdown text, a heading with each."""
     return F.filter(F.split(text, r"\n(?=#{1,6} )"), lambda s: F.trim(s) != "")

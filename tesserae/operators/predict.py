@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def distance(features: list[str], other: str = "q_", scales: str = "s_") -> Column:
-    """mean scaled L1 distance over the features both rows have; null where they share none."""
-    parts = [F.abs(F.col(f) - F.col(other + f)) / F.greatest(F.col(scales + f), F.lit(1e-6)) for f in features]
-    used = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in parts])
-    return F.when(used > 0, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts]) / used)
+from tesserae.operators import blocks
 
 
 def neighbours(pool: DataFrame, queries: DataFrame, features: list[str], target: str, k: int = 5, pool_id: str = "id", query_id: str = "qid") -> DataFrame:
-    """The k nearest rows of the pool for each of a stated set of queries, itself
-    left out. Scales are the pool's deviations, one row beside all pairs; pairs leave the join
-    with id, target and distance alone, and each group keeps k of them before its sort."""
-    scales = pool.agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in features])
-    q = queries.select(query_id, *[F.col(f).alias(f"q_{f}") for f in features])
-    pairs = pool.where(F.col(target).isNotNull()).crossJoin(F.broadcast(scales)).join(q, F.col(pool_id) != F.col(query_id))
-    d = pairs.select(query_id, pool_id, F.col(target).alias("y"), distance(features).alias("d")).where("d IS NOT NULL").withColumn("d", F.round("d", 9))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("d", pool_id))).where(F.col("rank") <= k)
+    """The k nearest rows of the pool with a target for each of a stated set of
+    queries, itself left out, by the mean L1 distance, scaled by the pool's deviations, over the
+    features both rows have. Blocks of rows meet, and only the best of each pair of blocks leave."""
+    spread = pool.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    scales = np.array([max(spread[f] or 0.0, 1e-6) for f in features])
+
+    def distance(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        total, used = np.zeros((len(q), len(p))), np.zeros((len(q), len(p)))
+        for n, scale in enumerate(scales):
+            gap = np.abs(q[:, n][:, None] - p[:, n][None, :]) / scale
+            there = ~np.isnan(gap)
+            total[there] += gap[there]
+            used += there
+        return np.round(np.where(used > 0, total / np.maximum(used, 1), np.nan), 9)
+
+    usable = pool.where(F.col(target).isNotNull())
+    found = blocks.nearest(blocks.packed(usable, pool_id, features, "p"), blocks.packed(queries, query_id, features, "q"), distance, k)
+    near = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("value", "id"))).where(F.col("rank") <= k)
+    near = near.select(F.col("qid").alias(query_id), F.col("id").alias(pool_id), F.col("value").alias("d"), "rank")
+    return near.join(usable.select(pool_id, F.col(target).alias("y")), pool_id)
 
 
 def inverse_distance(near: DataFrame, query_id: str = "qid") -> DataFrame:

@@ -9,18 +9,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: str, group: list[str], ascending: bool = True) -> Column:
-    """Ranks with ties averaged; null for null."""
-    v = F.col(value)
-    some = [*group, v.isNull()]
-    first = F.rank().over(Window.partitionBy(*some).orderBy(v.asc() if ascending else v.desc()))
-    peers = F.count(v).over(Window.partitionBy(*group, v))
-    return F.when(v.isNotNull(), first + (peers - 1) / 2.0)
+_BUCKETS = 64
 
 
-def percentile_rank(value: str, group: list[str], ascending: bool = True) -> Column:
-    """Average rank over the number of values; not `percent_rank`."""
-    return average_rank(value, group, ascending) / F.count(F.col(value)).over(Window.partitionBy(*group))
+def value_places(df: DataFrame, value: str, group: list[str], weight: Column | None = None) -> DataFrame:
+    """Of each group's distinct values: `n` rows (or the sum of `weight`) that have it, `below` that
+    have a smaller one, `total`, and the `bucket` it is in.
+
+    Distinct values are dealt to buckets by fixed approximate quantiles, numbered inside them, and a
+    bucket's start is the sum of the buckets before: no task orders all values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), [k / _BUCKETS for k in range(1, _BUCKETS)], 10_000)).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    dealt = counts.withColumn("bucket", bucket)
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = dealt.withColumn("_in", before(Window.partitionBy(*group, "bucket").orderBy(value), "n"))
+    sums = dealt.groupBy(*group, "bucket").agg(F.sum("n").alias("_m"))
+    starts = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("bucket").alias("_b"), before(Window.partitionBy(*group).orderBy("bucket"), "_m").alias("_start"), F.sum("_m").over(Window.partitionBy(*group)).alias("total"))
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], F.col("bucket") == F.col("_b"))
+    return inside.join(starts, same).select(*group, value, "n", (F.col("_start") + F.col("_in")).alias("below"), "total", "bucket")
+
+
+def with_rank(df: DataFrame, value: str, group: list[str], name: str, ascending: bool = True, percent: bool = False) -> DataFrame:
+    """Ranks with ties averaged, null for null; over the number of values if `percent`,
+    which isn't `percent_rank`."""
+    below = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("n")
+    rank = below + (F.col("n") + 1) / 2.0
+    places = value_places(df, value, group).select(*[F.col(c).alias(f"_{c}") for c in [*group, value]], (rank / F.col("total") if percent else rank).alias(name))
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], F.col(value) == F.col(f"_{value}"))
+    return df.join(places, same, "left").select(*df.columns, name)
 
 
 def pearson(x: Column, y: Column, least: int = 2) -> Column:
@@ -138,8 +155,10 @@ def _beta_ratio(a: float, b: float, x: float) -> float:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adjusted p-values, the running minimum from the largest down."""
-    one = Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("_r", F.row_number().over(one.orderBy(p))).withColumn("_n", F.count(F.lit(1)).over(one))
-    adjusted = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(one.orderBy(F.desc("_r"))))
-    return ranked.withColumn("q", adjusted).drop("_r", "_n")
+    """Adjusted p-values: of each value the least of p * n / rank from it upwards, 1 at most.
+    The minimum runs inside buckets of distinct values, then over the buckets above."""
+    each = value_places(df, p, []).withColumn("_q", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
+    inside = each.withColumn("_q", F.min("_q").over(Window.partitionBy("bucket").orderBy(F.desc(p))))
+    above = each.groupBy("bucket").agg(F.min("_q").alias("_m")).select(F.col("bucket").alias("_b"), F.min("_m").over(Window.partitionBy().orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # a row a bucket
+    found = inside.join(above, F.col("bucket") == F.col("_b")).select(F.col(p).alias("_p"), F.least(F.lit(1.0), F.col("_q"), F.col("_above")).alias("q"))
+    return df.join(found, F.col(p) == F.col("_p"), "left").select(*df.columns, "q")

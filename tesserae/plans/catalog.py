@@ -163,10 +163,10 @@ def quality_scores(t: Tables) -> DataFrame:
 
 @query("P24 P25 P26 P28 F21", """
 WITH e AS (SELECT event_id, event_type || ':' || user_id AS node, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
-SELECT event_id, split_part(node, ':', 1) AS category, split_part(node, ':', 2) AS label, CASE split_part(node, ':', 1) WHEN 'view' THEN 'process' WHEN 'click' THEN 'mechanism' WHEN 'purchase' THEN 'performance' ELSE split_part(node, ':', 1) END AS translated, k, substr(node, 1, strpos(node, ':') + 1) AS prefix FROM e WHERE node LIKE '%:1%'""")
+SELECT event_id, split_part(node, ':', 1) AS category, split_part(node, ':', 2) AS label, CASE split_part(node, ':', 1) WHEN 'view' THEN 'process' WHEN 'click' THEN 'mechanism' WHEN 'purchase' THEN 'performance' ELSE split_part(node, ':', 1) END AS translated, k, substr(node, 1, strpos(node, ':') + 1) AS prefix FROM e""")
 def entity_labels(t: Tables) -> DataFrame:
     """Nodes split, renamed by a small mapping table with fall-through, and JSON read."""
-    e = t.events.select("event_id", F.concat_ws(":", "event_type", "user_id").alias("node"), F.get_json_object("props", "$.k").cast("int").alias("k")).where(F.col("node").like("%:1%"))
+    e = t.events.select("event_id", F.concat_ws(":", "event_type", "user_id").alias("node"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     mapping = t.spark.createDataFrame([("view", "process"), ("click", "mechanism"), ("purchase", "performance")], "old string, new string")
     e = e.withColumn("category", text.category(F.col("node"))).withColumn("label", text.suffix(F.col("node")))
     e = e.join(F.broadcast(mapping), F.col("category") == F.col("old"), "left")  # three rows
@@ -250,7 +250,7 @@ def grouped_split(t: Tables) -> DataFrame:
     return C.split_by_group(t.documents.select("doc_id", "source"), "source")
 
 
-@query("W16 W17", """
+@query("W16", """
 WITH g AS (SELECT l_returnflag || l_linestatus || l_linenumber AS g, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT g, n, n * 100.0 / sum(n) OVER () AS share FROM g),
 f AS (SELECT g, n, floor(share) AS base, share - floor(share) AS frac FROM s), r AS (SELECT *, row_number() OVER (ORDER BY round(frac, 9) DESC, g) AS rn, 100 - sum(base) OVER () AS rest FROM f)
 SELECT g, n, CAST(base + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS seats FROM r""")
@@ -266,6 +266,16 @@ def apportion(t: Tables) -> DataFrame:
     return f.select("g", "n", (F.col("base") + F.when(rn <= rest, 1).otherwise(0)).cast("long").alias("seats"))
 
 
+@query("W17", """
+WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), e AS (SELECT event_id, event_type, CAST(floor(n * 0.5) AS BIGINT) AS a, CAST(floor(n * 0.3) AS BIGINT) AS b, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events JOIN g USING (event_type))
+SELECT event_id, CASE WHEN i >= a + b THEN 'reserve' WHEN i < 2 * b AND i % 2 = 1 THEN 'test' ELSE 'train' END AS part FROM e""")
+def alternating_split(t: Tables) -> DataFrame:
+    """Events of each kind by turns to train and test, half and three tenths of them, the rest in reserve."""
+    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.events.join(n, "event_type")
+    return C.alternate(rows, ["event_type"], [F.asc("event_id")], F.floor(F.col("n") * 0.5), F.floor(F.col("n") * 0.3)).select("event_id", "part")
+
+
 @query("K10", "SELECT l_suppkey, first.l_orderkey AS l_orderkey, first.l_linenumber AS l_linenumber FROM (SELECT l_suppkey, max({'a': l_discount, 'b': -l_tax, 'c': l_quantity, 'l_orderkey': -l_orderkey, 'l_linenumber': -l_linenumber}) AS m FROM lineitem GROUP BY 1) x, LATERAL (SELECT -m.l_orderkey AS l_orderkey, -m.l_linenumber AS l_linenumber) first")
 def weighted_ties(t: Tables) -> DataFrame:
     """The best row of each group by several measures in turn, as the largest struct."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import numeric
 from tesserae.operators import predict as P
+from tesserae.operators.blocks import spread
 from tesserae.plans.registry import Tables, query
 
 FEATURES = ["a", "b"]
@@ -17,7 +18,7 @@ near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d
 
 
 def pool(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("a"), F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("b"), F.when(F.col("c_custkey") % 11 > 0, F.col("c_custkey") % 97 * 1.0).alias("y"))
+    return spread(t.customer).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("a"), F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("b"), F.when(F.col("c_custkey") % 11 > 0, F.col("c_custkey") % 97 * 1.0).alias("y"))
 
 
 def near(t: Tables) -> DataFrame:

@@ -14,12 +14,12 @@ def session_list(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max_by("text", "turn").alias("last_text"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("W10", "SELECT conv_id, turn, role, substr(text, 1, 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6")
+@query("W10", "SELECT conv_id, turn, role, substr(text, 1, 100) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6")
 def session_last6(t: Tables) -> DataFrame:
-    return C.best_per(t.conversations, ["conv_id"], [F.desc("turn")], 6).select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("text"))
+    return C.best_per(t.conversations, ["conv_id"], [F.desc("turn")], 6).select("conv_id", "turn", "role", F.substring("text", 1, 100).alias("text"))
 
 
-@query("S15 F38 T01", "SELECT conv_id, string_agg('**' || role || '**: ' || substr(text, 1, 300), chr(10) ORDER BY turn) AS body, '' AS review FROM conversations GROUP BY conv_id")
+@query("S15 F38", "SELECT conv_id, string_agg('**' || role || '**: ' || substr(text, 1, 300), chr(10) ORDER BY turn) AS body, '' AS review FROM conversations GROUP BY conv_id")
 def conversation_export(t: Tables) -> DataFrame:
     """A review sheet: texts cut to 300 characters and an empty column for remarks."""
     lines = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("**"), "role", F.lit("**: "), F.substring("text", 1, 300)).alias("s"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,7 @@ def default_zero_categories(t: Tables) -> DataFrame:
 def grouping_sets(t: Tables) -> DataFrame:
     """Totals by kind, by part and in all, from one pass."""
     e = t.events.select("event_type", (F.col("user_id") % 3).alias("part"), "value")
-    e.createOrReplaceTempView("_grouping_sets")
-    return t.spark.sql("SELECT event_type, part, round(avg(value), 3) AS mean, count(*) AS n FROM _grouping_sets GROUP BY GROUPING SETS ((event_type), (part), ())")
+    return t.spark.sql("SELECT event_type, part, round(avg(value), 3) AS mean, count(*) AS n FROM {e} GROUP BY GROUPING SETS ((event_type), (part), ())", e=e)
 
 
 @query("A05 A06", "SELECT 'lang' AS field, round(100.0 * count(CASE WHEN lang <> '' THEN 1 END) / count(*), 4) AS filled, avg(length(lang)) AS mean, min(length(lang)) AS least, max(length(lang)) AS most FROM documents UNION ALL SELECT 'text', round(100.0 * count(CASE WHEN text <> '' THEN 1 END) / count(*), 4), avg(length(text)), min(length(text)), max(length(text)) FROM documents")
@@ -114,23 +113,31 @@ def pearson_matrix(t: Tables) -> DataFrame:
 
 
 @query("A25 A27 W05", """
-WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS y, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS code, l_tax FROM lineitem WHERE l_suppkey % 10 = 1)
+WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS y, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS code, l_tax FROM lineitem)
 SELECT round(corr(x, y), 8) AS spearman, round(corr(code, l_tax), 8) AS coded FROM r""")
 def spearman(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_suppkey % 10 = 1").withColumn("g", F.lit(1))
-    ranked = rows.select(S.average_rank("l_quantity", ["g"]).alias("x"), S.average_rank("l_discount", ["g"]).alias("y"), F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END").alias("code"), "l_tax")
+    rows = t.lineitem.select("l_quantity", "l_discount", F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END").alias("code"), "l_tax")
+    ranked = S.with_rank(S.with_rank(rows, "l_quantity", [], "x"), "l_discount", [], "y")
     return ranked.agg(F.round(S.pearson(F.col("x"), F.col("y")), 8).alias("spearman"), F.round(S.pearson(F.col("code"), F.col("l_tax")), 8).alias("coded"))
 
 
-@query("A28 A26", None)
+@query("A28", """
+WITH p AS (SELECT c_custkey, (c_custkey * 7919 % 1009 + 1) / 5000.0 AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS i, count(*) OVER () AS n FROM p)
+SELECT c_custkey, p, round(least(1, min(p * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r""")
 def fdr_adjusted(t: Tables) -> DataFrame:
-    """Correlations with p-values and Benjamini-Hochberg adjustment."""
-    @F.pandas_udf("double")
-    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(S.correlation_p(r.to_numpy(), n.to_numpy()))
+    """Benjamini-Hochberg adjustment of p-values with ties."""
+    p = t.customer.select("c_custkey", ((F.col("c_custkey") * 7919 % 1009 + 1) / 5000.0).alias("p"))
+    return S.benjamini_hochberg(p).withColumn("q", F.round("q", 9))
 
-    n = t.lineitem.count()
-    return S.benjamini_hochberg(S.correlations(t.lineitem.select(*NUM), NUM).withColumn("p", p_value("r", F.lit(n))))
+
+@query("A24 A28", None)
+def correlation_tests(t: Tables) -> DataFrame:
+    """Correlations of all pairs of columns with p-values and their adjustment: six rows."""
+    columns = [S.pearson(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(PAIRS)]
+    found = t.lineitem.agg(F.count(F.lit(1)).alias("n"), *columns).first()
+    p = S.correlation_p(np.array([found[f"r{k}"] or 0.0 for k in range(len(PAIRS))]), np.full(len(PAIRS), found["n"]))
+    told = [(a, b, found[f"r{k}"], float(p[k])) for k, (a, b) in enumerate(PAIRS)]
+    return S.benjamini_hochberg(t.spark.createDataFrame(told, "a string, b string, r double, p double"))
 
 
 @query("A29 A30", "SELECT 'ols' AS method, count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
@@ -219,31 +226,34 @@ def trend_lines(t: Tables) -> DataFrame:
 RANK_SQL = "(rank() OVER (PARTITION BY l_returnflag ORDER BY {c} {way}) + (count(*) OVER (PARTITION BY l_returnflag, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY l_returnflag)"
 
 
-@query("W01 W02 B9", f"""
+@query("W01 W02", f"""
 WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag, ({RANK_SQL.format(c='l_quantity', way='ASC')} + {RANK_SQL.format(c='l_tax', way='ASC')} + {RANK_SQL.format(c='l_discount', way='DESC')}) / 3 AS score FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(score, 9) AS score, rank() OVER (PARTITION BY l_returnflag ORDER BY round(score, 9) DESC) AS place FROM s""")
 def bend_score(t: Tables) -> DataFrame:
     """Mean of percentile ranks, one of them reversed, and the place in the group."""
-    g = ["l_returnflag"]
-    ranks = [S.percentile_rank("l_quantity", g), S.percentile_rank("l_tax", g), S.percentile_rank("l_discount", g, ascending=False)]
-    s = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", F.round((ranks[0] + ranks[1] + ranks[2]) / 3, 9).alias("score"))
-    return s.select("l_orderkey", "l_linenumber", "score", F.rank().over(Window.partitionBy("l_returnflag").orderBy(F.desc("score"))).alias("place"))
+    s = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_tax", "l_discount")
+    for k, (c, up) in enumerate((("l_quantity", True), ("l_tax", True), ("l_discount", False))):
+        s = S.with_rank(s, c, ["l_returnflag"], f"r{k}", up, percent=True)
+    s = s.select("l_orderkey", "l_linenumber", "l_returnflag", F.round((F.col("r0") + F.col("r1") + F.col("r2")) / 3, 9).alias("score"))
+    places = S.value_places(s, "score", ["l_returnflag"]).select(F.col("l_returnflag").alias("g"), F.col("score").alias("v"), (F.col("total") - F.col("below") - F.col("n") + 1).cast("int").alias("place"))
+    return s.join(places, (F.col("l_returnflag") == F.col("g")) & (F.col("score") == F.col("v"))).select("l_orderkey", "l_linenumber", "score", "place")
 
 
 @query("W06", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, rn, CASE WHEN rn <= ceil(n * 0.2) THEN 1 WHEN rn <= ceil(n * 0.5) THEN 2 ELSE 3 END AS tier FROM r")
 def tiers(t: Tables) -> DataFrame:
-    """Places and tiers over the suppliers, a table of fixed small size."""
-    one = Window.partitionBy(F.lit(1))
-    r = t.supplier.where("s_acctbal IS NOT NULL").select("s_suppkey", F.row_number().over(one.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("rn"), F.count(F.lit(1)).over(one).alias("n"))
+    """Places by balance, ties by key, and tiers."""
+    rows = t.supplier.where("s_acctbal IS NOT NULL").select("s_suppkey", "s_acctbal")
+    places = S.value_places(rows, "s_acctbal", []).select(F.col("s_acctbal").alias("v"), (F.col("total") - F.col("below") - F.col("n")).alias("above"), "total")
+    tie = F.row_number().over(Window.partitionBy("s_acctbal").orderBy("s_suppkey"))
+    r = rows.withColumn("tie", tie).join(places, F.col("s_acctbal") == F.col("v")).select("s_suppkey", (F.col("above") + F.col("tie")).alias("rn"), F.col("total").alias("n"))
     return r.select("s_suppkey", "rn", F.when(F.col("rn") <= F.ceil(F.col("n") * 0.2), 1).when(F.col("rn") <= F.ceil(F.col("n") * 0.5), 2).otherwise(3).alias("tier"))
 
 
 @query("W07 W15", "WITH train AS (SELECT DISTINCT l_quantity AS x, cume_dist() OVER (ORDER BY l_quantity) AS f FROM lineitem WHERE l_returnflag = 'N') SELECT l_orderkey, l_linenumber, coalesce((SELECT max(f) FROM train WHERE x <= l.l_quantity), 0) AS ecdf FROM lineitem l WHERE l_returnflag = 'R'")
 def ecdf_vs_train(t: Tables) -> DataFrame:
-    """Share of training values up to each value: one sorted pass over distinct values of both sides."""
-    n = t.lineitem.where("l_returnflag IN ('N', 'R')").groupBy(F.col("l_quantity").alias("x")).agg(F.count_if(F.col("l_returnflag") == "N").alias("n"))
-    one = Window.partitionBy(F.lit(1))  # distinct values only
-    f = n.select("x", (F.sum("n").over(one.orderBy("x")) / F.sum("n").over(one)).alias("ecdf"))
+    """Share of training values up to each value, from counts of the distinct values of both sides."""
+    both = t.lineitem.where("l_returnflag IN ('N', 'R')").select(F.col("l_quantity").alias("x"), "l_returnflag")
+    f = S.value_places(both, "x", [], (F.col("l_returnflag") == "N").cast("long")).select("x", ((F.col("below") + F.col("n")) / F.col("total")).alias("ecdf"))
     return t.lineitem.where("l_returnflag = 'R'").join(f, F.col("l_quantity") == F.col("x")).select("l_orderkey", "l_linenumber", "ecdf")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text
 from tesserae.operators import graph as G
+from tesserae.operators.blocks import spread
 from tesserae.plans.registry import Tables, query
 from tesserae.plans.retrieval import CHUNKED, chunk_rows
 
@@ -47,7 +48,7 @@ s2 AS (SELECT doc_id, {", ".join(f"{_hits(k)} AS {k}" for k in HIT)}, CASE WHEN
 
 @query("F05 F06 P27", f"WITH {SENTENCES} SELECT coalesce(direction, 'none') AS direction, array_to_string(process, ',') AS process, array_to_string(morphology, ',') AS morphology, count(*) AS n FROM s2 GROUP BY ALL")
 def factor_hits(t: Tables) -> DataFrame:
-    s = t.documents.select(F.explode(text.sentences(F.col("text"))).alias("s"))
+    s = spread(t.documents.select("text")).select(F.explode(text.sentences(F.col("text"))).alias("s"))
     return s.groupBy(F.coalesce(text.direction(F.col("s"), UP, DOWN), F.lit("none")).alias("direction"), F.array_join(text.factors(F.col("s"), LEXICON["process"]), ",").alias("process"), F.array_join(text.factors(F.col("s"), LEXICON["morphology"]), ",").alias("morphology")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,7 +63,7 @@ n AS (SELECT * FROM d ANTI JOIN l USING (doc_id, relation, source, target, direc
 SELECT relation, source, target, direction, count(*) AS n FROM (SELECT doc_id, relation, source, target, direction FROM l UNION ALL SELECT doc_id, relation, source, target, direction FROM n) GROUP BY ALL""")
 def relation_links(t: Tables) -> DataFrame:
     """Links of all sentences of all documents, with the derived inverse ones, counted."""
-    r = G.valid_facts(G.relations(t.documents, "doc_id", "text", LEXICON, UP, DOWN, []))
+    r = G.valid_facts(G.relations(spread(t.documents.select("doc_id", "text")), "doc_id", "text", LEXICON, UP, DOWN, []))
     return r.groupBy("relation", "source", "target", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,9 +75,9 @@ def domain_counts(t: Tables) -> DataFrame:
 
 @query("F14 F15", """
 SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) || regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', '') AS url_key,
- substr(sha1(url), 1, 10) AS digest, trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages WHERE length(url) < 80""")
+ substr(sha1(url), 1, 10) AS digest, trim(substr(trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-') AS slug FROM pages""")
 def normalised_urls(t: Tables) -> DataFrame:
-    return t.pages.where(F.length("url") < 80).select("page_id", text.url_key(F.col("url")).alias("url_key"), text.fingerprint(F.col("url")).alias("digest"), text.slug(F.col("url")).alias("slug"))
+    return t.pages.select("page_id", text.url_key(F.col("url")).alias("url_key"), text.fingerprint(F.col("url")).alias("digest"), text.slug(F.col("url")).alias("slug"))
 
 
 STATED = "'At temperature above ' || (700 + p_size) || ' and flow between ' || p_size || ' and ' || (p_size + 50) || ', thickness > ' || (p_size / 10.0) || ' nm, 10-' || (10 + p_size) || ' min.'"
@@ -110,7 +111,7 @@ def text_quality(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(F.least(F.lit(1.0), n / 1000.0) * 0.5 + F.when(n > 0, 0.5 * letters / n).otherwise(0.0), 6).alias("score"))
 
 
-@query("S18 F38", "SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"')) AS links FROM pages")
+@query("F38", "SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"')) AS links FROM pages")
 def page_sections(t: Tables) -> DataFrame:
     count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
     return t.pages.select("page_id", count("<p>").alias("paragraphs"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), count('href="').alias("links"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+import subprocess
+import sys
 import zipfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -44,7 +47,8 @@ def test_latest_upsert_and_insert(spark):
 
 def test_ranks_with_ties(spark):
     df = spark.createDataFrame([("g", v) for v in (10.0, 20.0, 20.0, 30.0, None)], "g string, v double")
-    got = rows(df.select("v", stats.average_rank("v", ["g"]), stats.percentile_rank("v", ["g"], False)).orderBy("v"))
+    ranked = stats.with_rank(stats.with_rank(df, "v", ["g"], "a"), "v", ["g"], "b", False, percent=True)
+    got = rows(ranked.select("v", "a", "b").orderBy("v"))
     assert got == [(None, None, None), (10.0, 1.0, 1.0), (20.0, 2.5, 0.625), (20.0, 2.5, 0.625), (30.0, 4.0, 0.25)]
 
 
@@ -109,7 +113,7 @@ def test_paths_never_repeat_a_link(spark):
 
 
 def test_paths_start_from_every_line_item(spark, tmp_path):
-    items = [(1, 1, 1, 3, 30.0, 0.1, "A", "O")] + [(2, 1 + 40 * j, 1, j % 7 + 1, 30.0, 0.1 - 0.001 * j, "N", "O") for j in range(25)]
+    items = [(1, 1, 1, 3, 30.0, 0.1, "A", "O")] + [(2, 1, 1, j % 4 * 2 + 1, 30.0, 0.1 - 0.001 * j, "N", "O") for j in range(25)]
     items = [(n, *r[1:]) for n, r in enumerate(items)]
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = Counter()
@@ -122,6 +126,44 @@ def test_paths_start_from_every_line_item(spark, tmp_path):
 def test_greedy_suppression(spark):
     df = spark.createDataFrame([("q", 1, ["a", "b", "c"], 0.9), ("q", 2, ["a", "b", "d"], 0.8), ("q", 3, ["x", "y"], 0.7), ("q", 4, ["a", "y", "z"], 0.6)], "g string, id long, m array<string>, s double")
     assert [r.id for r in graph.suppress(df, "g", "m", "s", 2).orderBy("rank").collect()] == [1, 3]
+    # A candidate's own size counts, or the smaller one's, and the bound itself may be enough.
+    df = spark.createDataFrame([("q", 1, ["a", "b"], 0.9), ("q", 2, ["a", "b", "c", "d"], 0.8), ("q", 3, ["a"], 0.7)], "g string, id long, m array<string>, s double")
+    pick = lambda *a: [r.id for r in graph.suppress(df, "g", "m", "s", 5, *a).orderBy("rank").collect()]
+    assert pick(0.5) == [1, 2] and pick(0.5, True) == [1] and pick(0.5, False, True) == [1]
+
+
+def test_greedy_paths_go_to_the_best_unvisited_neighbour(spark):
+    links = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("b", "a", 0.95), ("a", "c", 0.1), ("d", "d", 1.0)], "source string, target string, confidence double")
+    seeds = spark.createDataFrame([("a",), ("c",), ("d",), ("z",)], "node string")
+    got = {r.node: r.path for r in graph.greedy_paths(links, seeds, 4).collect()}
+    assert got == {"a": ["a", "b", "c"], "c": ["c", "b", "a"], "d": ["d"], "z": ["z"]}
+
+
+def test_alignment_skips_deleted_rows_and_fails_on_others(spark):
+    side = "g string, id long, name string, gone boolean"
+    rows_ = spark.createDataFrame([("p", 1, "A.tif", False), ("p", 2, "x.tif", True), ("p", 3, "b.tif", True), ("p", 4, "c.tif", False), ("q", 1, "a", False), ("q", 2, "b", False), ("q", 3, "c", False), ("r", 1, "a", None)], side)
+    told = spark.createDataFrame([("p", 11, "a.tif", None), ("p", 12, "B.tif", None), ("p", 13, "c.tif", None), ("q", 11, "a", None), ("q", 12, "c", None), ("s", 1, "a", None)], side).drop("gone")
+    pairs = catalog.aligned(rows_, told, "g", "id", "name", "gone")
+    got = {(r.g, r.id, r.other, r.status) for r in pairs.collect()}
+    assert got == {("p", 1, 11, "paired"), ("p", 2, None, "skipped"), ("p", 3, 12, "paired"), ("p", 4, 13, "paired"), ("q", 1, 11, "paired"), ("q", 2, None, "failed"), ("q", 3, None, "open"), ("q", None, 12, "open"), ("r", 1, None, "failed"), ("s", None, 1, "failed")}
+    assert catalog.require_aligned(pairs.where("g = 'p'")).count() == 3
+    with pytest.raises(Exception, match="alignment failed at 2 b"):
+        catalog.require_aligned(pairs.where("g = 'q'")).collect()
+
+
+@pytest.mark.parametrize("train,test", [(3, 3), (5, 2), (1, 4), (0, 3), (4, 0), (2, 1)])
+def test_alternating_split(spark, train, test):
+    want, a, b, turn = {}, 0, 0, True
+    for i in range(8):
+        if i >= train + test:
+            want[i] = "reserve"
+        elif turn and a < train or b >= test:
+            want[i], a = "train", a + 1
+        else:
+            want[i], b = "test", b + 1
+        turn = not turn
+    got = catalog.alternate(spark.range(8).withColumn("g", F.lit("x")), ["g"], [F.asc("id")], F.lit(train), F.lit(test)).collect()
+    assert {r.id: r.part for r in got} == want
 
 
 def test_suppression_walks_all_candidates(spark):
@@ -203,6 +245,9 @@ def test_streamed_ingest_is_idempotent(spark, tmp_path):
         ingest.ingest_once(ingest.arrivals(spark, source, schema), F.col("s"), out, ledger, str(tmp_path / "checkpoint")).awaitTermination()
         got = sorted(r.s for r in spark.read.parquet(out).collect())
         assert got == (["a", "b"], ["a", "b", "c"])[k]
+    for k in range(2):  # a new checkpoint and smaller batches
+        ingest.ingest_once(ingest.arrivals(spark, source, schema, per_trigger=1), F.col("s"), out, ledger, str(tmp_path / f"other{k}")).awaitTermination()
+        assert sorted(r.s for r in spark.read.parquet(out).collect()) == sorted(r.signature for r in spark.read.parquet(ledger).collect()) == ["a", "b", "c"]
     ingest.process_new(ingest.arrivals(spark, source, schema), str(tmp_path / "copy"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "copy")).count() == 5
     assert ingest.remaining(spark.range(5), spark.range(3), "id").count() == 2
@@ -221,5 +266,51 @@ def test_rows_that_fail_or_hang_yield_errors(spark):
         return {"id": row["id"] * 10}
 
     schema = pa.schema([("id", pa.int64()), ("error", pa.string())])
+    begin = time.time()
+    late = spark.range(2, 12).coalesce(1).mapInArrow(ingest.guarded(work, schema, 0.5), "id long, error string").collect()
+    assert sorted((r.id, r.error) for r in late) == [(2, "TimeoutError"), *((k * 10, None) for k in range(3, 12))] and time.time() - begin < 3
     got = spark.range(3).coalesce(1).mapInArrow(ingest.guarded(work, schema, 0.5), "id long, error string").collect()
     assert sorted((r.id, r.error) for r in got) == [(0, None), (1, "KeyError"), (2, "TimeoutError")]
+
+
+def test_waves_of_a_sine(spark):
+    lines = [("flat", float(i), 0.0) for i in range(240)] + [("sine", float(i), 8 * math.sin(2 * math.pi * i / 40)) for i in range(240)]
+    lines += [("short", float(i), 8 * math.sin(2 * math.pi * i / 8)) for i in range(10)]
+    lines += [("turned", -8 * math.sin(2 * math.pi * i / 40), float(i)) for i in range(240)]  # the same, upright
+    got = {r.b: r for r in images.wave_rows(spark.createDataFrame(lines, "b string, x double, y double").repartition(3), "b").collect()}
+    assert got.keys() == {"sine", "turned"}
+    r = got["sine"]
+    assert 0.2 < r.ratio < 0.6 and abs(r.wavelength_px - 40) < 4 and abs(r.height_px - 16) < 4 and r.tortuosity > 1
+    assert got["turned"].ratio == pytest.approx(r.ratio, rel=0.05)
+
+
+def test_turns_keep_the_more_extreme_rival(spark):
+    heights = [0, 3, 0, 4, 0, 0, 0, 0, 0, 0, 0, -5, 0, -2, 0, 0, 0, 0, 0, 0, 0, 0, 6, 0]
+    df = spark.createDataFrame([("b", i, float(i), float(h)) for i, h in enumerate(heights)], "b string, c int, s double, level double")
+    r = images.turns(df, "b", 4.0).first()
+    assert [(t.s, t.kind) for t in r.turns] == [(3.0, 1), (13.0, -1), (22.0, 1)] and r.span == pytest.approx(23.0)
+
+
+def test_entry_stands_without_the_corpus_operators_libraries():
+    """A library that only they need may be missing."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    count, corpus = said.stdout.split()[-2:]
+    assert int(count) > 130 and corpus == "False"
+
+
+def test_workbooks_and_slides(spark, tmp_path):
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1"><v>2.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
+    shared = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>zero</t></si><si><r><t>on</t></r><r><t>e</t></r></si></sst>'
+    book = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="First"/></sheets></workbook>'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        for name, text in (("xl/workbook.xml", book), ("xl/sharedStrings.xml", shared), ("xl/worksheets/sheet1.xml", sheet)):
+            z.writestr(name, text)
+    got = sorted((r.sheet, r.row, r.cells) for r in files.read_workbooks(spark, str(tmp_path)).collect())
+    assert got == [("First", 1, ["one", "", "2.5"]), ("First", 3, ["", "in"])]
+    slide = '<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:t>Hello</a:t><a:t> there</a:t></a:p><a:p><a:t>you</a:t></a:p></p>'
+    with zipfile.ZipFile(tmp_path / "b.pptx", "w") as z:
+        for n in (2, 1):
+            z.writestr(f"ppt/slides/slide{n}.xml", slide)
+    assert sorted((r.slide, r.text) for r in files.read_slides(spark, str(tmp_path)).collect()) == [(1, "Hello there\nyou"), (2, "Hello there\nyou")]

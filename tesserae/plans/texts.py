@@ -123,14 +123,18 @@ def json_columns(t: Tables) -> DataFrame:
     return e.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct(F.col("p.k").alias("k"), F.col("event_type").alias("t"))).alias("out"))
 
 
-@query("F09 F10 F11 U06", None)
+@query("F09 F10 F11 U06", """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'process_morphology' ELSE 'process_performance' END AS relation, CASE p_size % 3 WHEN 0 THEN 'increase' WHEN 1 THEN 'decrease' ELSE 'nonlinear_or_tradeoff' END AS direction,
+ CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.9 END AS confidence FROM part""")
 def fact_links(t: Tables) -> DataFrame:
     """Facts with inferred relation, canonical direction and confidence."""
     s = t.part.select("p_partkey", F.concat(F.lit("process:"), "p_brand").alias("source"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("morphology:"), "p_type")).otherwise(F.concat(F.lit("performance:"), "p_type")).alias("target"), F.when(F.col("p_size") % 3 == 0, "positive").when(F.col("p_size") % 3 == 1, "inhibit").otherwise("unclear").alias("way"), F.concat("p_name", F.lit(" at "), "p_size", F.lit(" nm")).alias("sentence"))
-    return s.select("p_partkey", *G.fact_to_link(F.col("source"), F.col("target"), F.col("way")), G.confidence_of(F.col("sentence"), F.lit(0.1), F.col("p_partkey") % 2 == 0, F.lit(True), F.lit(False)).alias("confidence"))
+    return s.select("p_partkey", *G.fact_to_link(F.col("source"), F.col("target"), F.col("way")), G.confidence_of(F.col("sentence"), F.lit(0.1), F.col("p_partkey") % 2 == 0, F.lit(True), F.lit(False)).alias("confidence")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("F12 F05 F06 F07", None)
+@query("F12 F05 F06 F07", """
+SELECT p_partkey, 'growth_temp' AS process, CASE WHEN p_size % 2 = 0 THEN 'alignment' ELSE '' END AS morphology, CASE WHEN p_size % 2 = 1 THEN 'conductivity' ELSE '' END AS performance, 'diffusion' AS mechanism,
+ CASE WHEN p_size % 2 = 0 THEN 'increase' ELSE 'decrease' END AS direction, 600.0 + p_size AS least, CASE WHEN p_size % 2 = 0 THEN 'process_morphology' ELSE 'process_performance' END AS relation FROM part""")
 def parsed_queries(t: Tables) -> DataFrame:
     """Questions as entities, direction, numeric conditions and wanted relations, for a table of questions."""
     asked = t.part.select("p_partkey", F.concat(F.lit("Does a temperature above "), 600 + F.col("p_size"), F.when(F.col("p_size") % 2 == 0, " increase alignment").otherwise(" reduce conductivity"), F.lit(" by diffusion?")).alias("q"))

@@ -63,6 +63,20 @@ def forget(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+def written() -> int:
+    """How many tables `saved` has made that are still there."""
+    return len(_WRITTEN)
+
+
+def forget_since(count: int, *kept: DataFrame) -> None:
+    """Delete the tables made since there were `count`, but for `kept`: a finished stage's own."""
+    paths = {getattr(df, "_tesserae_path", None) for df in kept}
+    for spark, path in _WRITTEN[count:]:
+        if path not in paths:
+            _delete(spark, path)
+    _WRITTEN[count:] = [x for x in _WRITTEN[count:] if x[1] in paths]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import exactdup, neardup, packing, quality, substrings
-from tesserae.llm.common import saved, table
+from tesserae.llm.common import forget, forget_since, saved, table, written
 from tesserae.session import ship
 
 
@@ -59,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        begin, given = written(), docs
+        docs = saved(stage(spark, given, sf_dir), name)
+        forget_since(begin, docs)  # what the stage has made on its way
+        forget(given)
     return STAGES[-1][1](spark, docs, sf_dir)

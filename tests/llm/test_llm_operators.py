@@ -238,6 +238,17 @@ def test_plans_pack_all_and_search_never_hurts(size, seed):
         assert sum(best.values()) <= 11 / 9 * -(-sum(x * n for x, n in counts.items()) // size) + 1
 
 
+@pytest.mark.parametrize("size,lengths,left,best", [(12, [6, 5, 5, 4, 2, 2], 3, 2), (100, [63, 62, 50, 34, 32, 22, 18, 16], 4, 3), (50, [31, 27, 24, 22, 17, 16, 15, 14, 12, 11], 5, 4)])
+def test_search_empties_sequences_that_best_fit_leaves(size, lengths, left, best):
+    counts = Counter(lengths)
+    first = packing.best_fit(counts, size)
+    assert sum(first.values()) == left and sum(packing.local_search(first, size).values()) == best == -(-sum(lengths) // size)
+
+
+def test_search_looks_at_every_length_of_a_pattern():
+    assert (3, 500) in packing._parts((500, *[20] * 24, 3)) and len(packing._parts(tuple(range(44, 0, -1)))) == 1 + 44 + 44 * 43 // 2
+
+
 def test_search_empties_a_sequence():
     start = Counter({(6,): 1, (5, 4): 1, (4, 3): 1, (3,): 1, (3, 3): 1})
     assert sum(packing.local_search(start, 10).values()) < sum(start.values())
@@ -556,3 +567,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert all((left[d][1] == 0) == (sub[d] == near[d]) for d in near)
     assert sum(len(t.split()) for t in near.values()) - sum(len(t.split()) for t in sub.values()) == sum(n for _, n, _ in left.values())
     assert {r.doc_id for r in docs.collect()} == set(sub)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names, no labels and no rows."""
+    import corpus_pipeline
+
+    long = " ".join(f"k{i}" for i in range(60))
+    rows = [(1, long, "en", "s", 9), (1, long, "en", "s", 9), (None, long, None, None, None), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "x" * 300_000, "en", "s", 1), (5, long + " tail", "en", "s", 1), (6, "one two", "en", "s", 1), (7, "ONE two", "en", "s", 1)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing(frame(spark, rows))
+    want = {
+        "quality": Counter(r[0] for r in rows),  # without labels nothing is rejected
+        "exact_dedup": Counter([1, 1, 3, 4, 5, 7]),  # the row without an id and the null text have equals with one
+        "near_dedup": Counter([1, 1, None, None, 2, 3, 4, 6]),  # 5 is near 1, and 7 has the words of 6
+        "substring_dedup": Counter(r[0] for r in rows),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "packing":
+            ends = [r.start + r.length for r in got]
+            assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in got}) == len(got) and max(ends) > 30_000 and sum(r.piece == 0 for r in got) == len(rows)
+        else:
+            assert out.columns == docs.columns and Counter(r.doc_id for r in got) == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_classifier_learns_from_repeated_and_long_texts(spark):
+    rows = [(d, ("good words here " if d % 2 else "zzz bad !!! ") * (30_000 if d < 4 else 20), "en", "s", 1) for d in range(40)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(30)] * 2 + [(None, 1, 0), (3, None, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality(clashing(frame(spark, rows + rows[:2] + [(None, "good words here", "en", "s", 1)])), labels).collect()
+    assert len(got) == 43 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None)

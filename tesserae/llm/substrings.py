@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, fan, lean, pieces, saved
+from tesserae.llm.common import buffers, lean, pieces, ranges, saved
 
 SIZE = 20
 ANCHOR = 6
@@ -269,13 +269,13 @@ def _rewritten(size: int, columns: list[str]):
 
 def repeated_places(rows: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, at, n): the windows of a document from `at` on, `n` in a row, start earlier too."""
-    parts = fan(rows.sparkSession)
+    parts = ranges(rows)
     sent = "part int, records binary"
     place = "doc_id long, at int, n int, open boolean"
-    found = saved(rows.mapInArrow(lean(_segments(parts, size, anchor)), sent).groupBy("part").applyInArrow(_settle, place), "segments")
+    found = saved(rows.mapInArrow(lean(_segments(parts, size, anchor)), sent).repartitionById(parts, "part").groupBy("part").applyInArrow(_settle, place), "segments")
     todo = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     near = rows.join(todo, "doc_id").select("doc_id", "text", "places")
-    told = near.mapInArrow(lean(_windows(parts, size)), sent).groupBy("part").applyInArrow(_settle_windows, place)
+    told = near.mapInArrow(lean(_windows(parts, size)), sent).repartitionById(parts, "part").groupBy("part").applyInArrow(_settle_windows, place)
     return found.where("NOT open").select("doc_id", "at", "n").union(told.select("doc_id", "at", "n"))
 
 

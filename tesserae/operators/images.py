@@ -35,18 +35,57 @@ def arc_length(points: DataFrame, branch: str, order: str) -> DataFrame:
     return points.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
-def curvature_bundle(points: DataFrame, image: str, branch: str, order: str, per_nm: float = 1.0) -> DataFrame:
-    """Branch curvatures (median, upper quartile, mean) weighted by length and its root."""
+def branch_curvatures(points: DataFrame, image: str, branch: str, order: str, per_nm: float = 1.0) -> DataFrame:
+    """Of each branch its length and the median, upper quartile and mean of its points' curvature."""
     key = points.select(image, branch).distinct()
     k = point_curvature(points, branch, order).groupBy(branch).agg(F.percentile(F.col("k") * per_nm, F.array(F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(F.col("k") * per_nm).alias("mean"))
     length = arc_length(points, branch, order).groupBy(branch).agg(F.max("arc").alias("length"))
-    b = key.join(k, branch).join(length, branch).select(image, "length", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p75"))
+    return key.join(k, branch).join(length, branch).select(image, branch, "length", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p75"))
+
+
+def bundled(branches: DataFrame, keys: list[str]) -> DataFrame:
+    """Branch curvatures of each key weighted by length and its root; 0 where there are none."""
     aggs = []
     for s in ("p50", "p75", "mean"):
         for tag, w in (("length", F.greatest("length", F.lit(1.0))), ("sqrt_length", F.sqrt(F.greatest("length", F.lit(1.0))))):
             good = F.when(F.col(s) > 0, w)
             aggs.append(F.coalesce(F.sum(F.col(s) * good) / F.sum(good), F.lit(0.0)).alias(f"{s}_{tag}"))
-    return b.groupBy(image).agg(*aggs, F.count(F.lit(1)).alias("branches"))
+    return branches.groupBy(*keys).agg(*aggs, F.count("length").alias("branches"))
+
+
+def curvature_bundle(points: DataFrame, image: str, branch: str, order: str, per_nm: float = 1.0) -> DataFrame:
+    """Curvatures of each image's branches."""
+    return bundled(branch_curvatures(points, image, branch, order, per_nm), [image])
+
+
+def branch_profiles(points: DataFrame, image: str, branch: str, order: str, factors: list[float], tube_px: float) -> DataFrame:
+    """The bundle of each image at each of a few length factors, over branches at least so many
+    tube widths long; one row an image and factor, also where no branch is long enough."""
+    branches = branch_curvatures(points, image, branch, order)
+    each = branches.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    long = F.col("length") >= F.col("factor") * tube_px
+    kept = each.select(image, "factor", *[F.when(long, F.col(c)).alias(c) for c in ("length", "mean", "p50", "p75")])
+    return bundled(kept, [image, "factor"])
+
+
+def regions(pixels: DataFrame, image: str) -> DataFrame:
+    """Rows of each image above its information bar, from its pixel rows (image, y, x, v)."""
+    return pixels.groupBy(image).applyInArrow(_of_image(image, lambda m: float(len(Y.roi(m)))), f"{image} long, value double").select(image, F.col("value").cast("long").alias("rows"))
+
+
+def foregrounds(pixels: DataFrame, image: str) -> DataFrame:
+    """Pixels of each image above their surroundings, after its contrast is equalised."""
+    return pixels.groupBy(image).applyInArrow(_of_image(image, lambda m: float(Y.adaptive_threshold(Y.equalised(m)).sum())), f"{image} long, value double").select(image, F.col("value").cast("long").alias("foreground"))
+
+
+def _of_image(image: str, figure):
+    def run(t: pa.Table) -> pa.Table:
+        y, x, v = (np.asarray(t.column(c)).astype(int) for c in ("y", "x", "v"))
+        m = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+        m[y, x] = v
+        return pa.table({image: pa.array([t.column(image)[0].as_py()], pa.int64()), "value": pa.array([figure(m)], pa.float64())})
+
+    return run
 
 
 def curvature_label(value: Column) -> Column:

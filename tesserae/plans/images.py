@@ -73,7 +73,7 @@ def dice_iou(t: Tables) -> DataFrame:
     return I.overlap(pixels(t), "image", F.col("v") > 0, (F.col("x") + F.col("y")) % 3 > 0)
 
 
-@query("G02 G17 G20", "SELECT s_suppkey, l, round(1024 / (518000.0 / (s_nationkey * 1000 + 5000)), 8) AS px_per_um, round(l * 1024 / (518000.0 / (s_nationkey * 1000 + 5000)), 6) AS least_px FROM supplier, (SELECT unnest([0, 1, 2, 4]) AS l)")
+@query("G02", "SELECT s_suppkey, l, round(1024 / (518000.0 / (s_nationkey * 1000 + 5000)), 8) AS px_per_um, round(l * 1024 / (518000.0 / (s_nationkey * 1000 + 5000)), 6) AS least_px FROM supplier, (SELECT unnest([0, 1, 2, 4]) AS l)")
 def threshold_profiles(t: Tables) -> DataFrame:
     """Each image at each of four length factors, a fixed parameter set."""
     scale = I.px_per_um(F.lit(1024), F.col("s_nationkey") * 1000 + 5000)
@@ -94,3 +94,27 @@ def suppressed_segments(t: Tables) -> DataFrame:
     cell = F.concat_ws(":", F.floor(F.col("x") / 8), F.floor(F.col("y") / 8))
     s = lines(t).groupBy("image", F.col("branch").alias("id")).agg(F.collect_set(cell).alias("members"), F.round(F.sum(F.abs("y")) + F.count(F.lit(1)), 6).alias("score"))
     return I.suppress_segments(s, "image")
+
+
+@query("G17", CURVES + ", " + "f AS (SELECT b.*, x AS factor, len >= x * 25 AS ok FROM b, (SELECT unnest([0.0, 1.0, 2.0, 5.0, 6.0]) AS x)) SELECT image, CAST(factor AS DOUBLE) AS factor, count(*) FILTER (WHERE ok) AS branches, round(coalesce(sum(p75 * sqrt(greatest(len, 1))) FILTER (WHERE ok AND p75 > 0) / sum(sqrt(greatest(len, 1))) FILTER (WHERE ok AND p75 > 0), 0), 9) AS p75_sqrt_length FROM f GROUP BY image, factor")
+def branch_profiles(t: Tables) -> DataFrame:
+    """Curvatures of each image's branches at five length factors."""
+    p = I.branch_profiles(lines(t), "image", "branch", "i", [0, 1, 2, 5, 6], 25.0)
+    return p.select("image", "factor", "branches", F.round("p75_sqrt_length", 9).alias("p75_sqrt_length"))
+
+
+def barred(t: Tables) -> DataFrame:
+    """Images of 300 rows with a dark bar below."""
+    at = t.supplier.select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("y")).select("image", "y", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("x"))
+    return at.withColumn("v", F.when(F.col("y") >= 180 + F.col("image") % 60, 0).otherwise(100))
+
+
+@query("G01", "SELECT s_suppkey AS image, CAST(least(225, 180 + s_suppkey % 60) + 10 AS BIGINT) AS rows FROM supplier")
+def image_regions(t: Tables) -> DataFrame:
+    return I.regions(barred(t), "image")
+
+
+@query("G03", None)
+def image_foregrounds(t: Tables) -> DataFrame:
+    """Foreground of each image after contrast and threshold: the lines on it."""
+    return I.foregrounds(pixels(t).withColumn("v", F.col("v") * 200 + 20), "image")

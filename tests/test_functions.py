@@ -134,9 +134,14 @@ def test_skeleton_figures():
     spur[8:10, 20] = 1
     assert geometry.prune(spur, 4).sum() >= 39 and geometry.prune(spur, 4)[8, 20] == 0
     assert geometry.patches(100, 64, 64, 32) == [(0, 0), (32, 0), (36, 0)]
-    image = np.full((30, 10), 100.0)
-    image[25:] = 0
-    assert geometry.roi(image).shape[0] == 25
+    image = np.full((300, 10), 100.0)
+    image[200:] = 0
+    assert geometry.roi(image).shape[0] == 210  # ten rows of the bar stay
+    image[200:] = 90
+    assert geometry.roi(image).shape[0] == 235  # no bar to see: its usual height
+    image[260:] = 200
+    assert geometry.roi(image).shape[0] == 276  # brighter rows at the end, of which some go anyway
+    assert len(geometry.roi(np.zeros((3, 3)))) == 1
     stripes = np.tile(np.sin(np.arange(60) / 3)[:, None] * 100, (1, 60))
     assert geometry.structure_tensor(stripes)[1] > 0.9 and geometry.rose(stripes).argmax() in (0, 17)
 

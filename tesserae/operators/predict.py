@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import blocks
+from tesserae.operators.stats import least_squares, linear
 
 
 def neighbours(pool: DataFrame, queries: DataFrame, features: list[str], target: str, k: int = 5, pool_id: str = "id", query_id: str = "qid") -> DataFrame:
@@ -43,6 +47,55 @@ def folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(k)))
 
 
+def _fold_sums(rows: DataFrame, features: list[str], target: str, scales: list[float], k: int) -> DataFrame:
+    """(id, fold, w, wy): of each row the sums of similarity weights, and of weighted targets, over the
+    other rows of each fold; block by block."""
+    schema = pa.schema([("id", pa.int64()), ("fold", pa.int32()), ("w", pa.float64()), ("wy", pa.float64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in b.to_pylist():
+                qid, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["p_ids"], np.int64)
+                q, p = (np.frombuffer(r[f"{x}_matrix"], np.float64).reshape(len(n), -1) for x, n in (("q", qid), ("p", ids)))
+                member = (p[:, -1][:, None] == np.arange(k)[None, :]).astype(np.float64)
+                for lo in range(0, len(qid), 256):
+                    part = q[lo : lo + 256]
+                    far = sum(np.abs(part[:, n][:, None] - p[:, n][None, :]) / s for n, s in enumerate(scales))
+                    weight = np.where(qid[lo : lo + 256][:, None] == ids[None, :], 0.0, np.exp(-far))
+                    sums, told = weight @ member, weight @ (member * p[:, -2][:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[lo : lo + 256], k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(part))), pa.array(sums.ravel()), pa.array(told.ravel())], schema=schema)
+
+    columns = [*features, target, "fold"]
+    pairs = blocks.packed(rows, "id", columns, "p").crossJoin(blocks.packed(rows, "id", columns, "q"))
+    return pairs.mapInArrow(run, "id long, fold int, w double, wy double").groupBy("id", "fold").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+
+
+def residual_cv(rows: DataFrame, features: list[str], target: str, scales: list[float], k: int) -> DataFrame:
+    """U16: out-of-fold predictions as a baseline plus a model of what it leaves.
+
+    The baseline of a row is the mean of the other rows' targets weighted by similarity (F24), over
+    the folds it isn't tested in alone: a test row's over the training folds, and, to train the model, a
+    training row's over the training folds without itself. So nothing of a fold reaches its own
+    predictions. `rows` have id, fold (0 to k - 1), features and target, none of them null."""
+    sums = _fold_sums(rows, features, target, scales, k)
+    other = sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("fold", "w", "wy"))).alias("sums"))
+    known = rows.join(other, "id")
+
+    def baseline(fold: Column) -> Column:
+        outside = F.filter("sums", lambda s: s["fold"] != fold)
+        total = lambda c: F.aggregate(outside, F.lit(0.0), lambda a, s: a + s[c])
+        return total("wy") / total("w")
+
+    out = None
+    for fold in range(k):
+        train = known.where(F.col("fold") != fold).withColumn("_left", F.col(target) - baseline(F.lit(fold)))
+        _, _, c = least_squares(train, features, "_left")
+        test = known.where(F.col("fold") == fold).withColumn("baseline", baseline(F.lit(fold)))
+        told = test.withColumn("prediction", F.col("baseline") + linear(c, features)).select(*rows.columns, "baseline", "prediction")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def cross_validated(df: DataFrame, features: list[str], target: str, make, k: int = 5, weight: str | None = None) -> DataFrame:
     """Out-of-fold predictions; a model for a fold never sees its groups.
     `make()` gives an estimator on a `features` vector and a `label`."""

@@ -37,13 +37,26 @@ def idw_baseline(t: Tables) -> DataFrame:
     return P.inverse_distance(near(t)).select("qid", F.round("baseline", 6).alias("baseline"), "n")
 
 
-@query("A20 U16", f"WITH {POOL}, b AS (SELECT qid, sum(y / greatest(d, 0.000001)) / sum(1 / greatest(d, 0.000001)) AS base FROM near GROUP BY qid) SELECT qid, round(pool.y - base, 6) AS residual FROM b JOIN pool ON id = qid WHERE pool.y IS NOT NULL")
+@query("A20", f"WITH {POOL}, b AS (SELECT qid, sum(y / greatest(d, 0.000001)) / sum(1 / greatest(d, 0.000001)) AS base FROM near GROUP BY qid) SELECT qid, round(pool.y - base, 6) AS residual FROM b JOIN pool ON id = qid WHERE pool.y IS NOT NULL")
 def loo_residuals(t: Tables) -> DataFrame:
     """What a model has to learn beyond each row's own neighbours."""
     b = P.inverse_distance(near(t))
     return b.join(pool(t).select(F.col("id").alias("qid"), "y"), "qid").where("y IS NOT NULL").select("qid", F.round(F.col("y") - F.col("baseline"), 6).alias("residual"))
 
 
+@query("U16 F24", """
+WITH r AS (SELECT p_partkey AS id, p_size % 3 AS fold, CAST(p_size AS DOUBLE) AS a, p_retailprice + 10.0 * p_size AS y FROM part),
+t AS (SELECT q.id, q.fold, q.a, q.y, p.fold AS g, sum(exp(-abs(q.a - p.a) / 5.0)) AS w, sum(exp(-abs(q.a - p.a) / 5.0) * p.y) AS wy FROM r q JOIN r p ON p.id <> q.id GROUP BY ALL),
+b AS (SELECT id, fold, a, y, f, sum(wy) / sum(w) AS base FROM t, (SELECT unnest([0, 1, 2]) AS f) WHERE g <> f GROUP BY id, fold, a, y, f),
+m AS (SELECT f, regr_slope(y - base, a) AS slope, regr_intercept(y - base, a) AS intercept FROM b WHERE fold <> f GROUP BY f)
+SELECT fold, count(*) AS n, round(avg(abs(y - base)), 4) AS baseline_mae, round(avg(abs(y - base - slope * a - intercept)), 4) AS mae FROM b JOIN m USING (f) WHERE fold = f GROUP BY fold""")
+def residual_folds(t: Tables) -> DataFrame:
+    """A similarity baseline and a model of its residuals, fitted anew for each fold: errors out of fold."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("fold"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") + 10.0 * F.col("p_size")).alias("y"))
+    told = P.residual_cv(spread(rows), ["a"], "y", [5.0], 3)
+    return told.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("baseline"))), 4).alias("baseline_mae"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 4).alias("mae"))
+
+
 @query("F36", "SELECT p_partkey, greatest(0.1, least(CASE WHEN p_size % 10 = 0 THEN least(c, 0.35) ELSE c END, 0.98)) AS confidence FROM (SELECT p_partkey, p_size, 0.35 + least(p_size % 6 * 0.07, 0.28) + least(p_size % 4 * 0.04, 0.12) + coalesce(greatest(least(CASE WHEN p_size % 3 > 0 THEN p_size / 50.0 - 0.3 END, 0.2), -0.05), 0) AS c FROM part)")
 def prediction_confidence(t: Tables) -> DataFrame:
     s = F.col("p_size")
@@ -72,7 +85,7 @@ def grouped_ridge(t: Tables) -> DataFrame:
     return P.errors(told).withColumn("model", F.lit("ridge"))
 
 
-@query("U08 U11 U15 U16 E10", None)
+@query("U08 U11 U15 E10", None)
 def grouped_trees(t: Tables) -> DataFrame:
     """Random forest and elastic net on a log target, cross-validated by brand."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor

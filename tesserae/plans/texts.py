@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import text
+from tesserae.functions import statements, text
 from tesserae.operators import graph as G
 from tesserae.operators.blocks import spread
 from tesserae.plans.registry import Tables, query
@@ -166,7 +166,7 @@ def stated_facts(sentences: DataFrame, key: str, column: str) -> DataFrame:
     return good.select(key, "pattern", "source", "target", (F.col("pattern") == "negation").alias("negated"), F.round(score, 6).alias("confidence"))
 
 
-@query("U03 U04 F10 F11", """
+@query("U03 F10 F11", """
 WITH s AS (SELECT p_partkey, p_size, 'brand' || p_size AS w FROM part)
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'nominalization' WHEN 1 THEN 'passive' WHEN 2 THEN 'negation' ELSE 'plain' END AS pattern, w AS source, tg AS target, p_size % 4 = 2 AS negated,
  CAST(CASE p_size % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 ELSE 0.7 END AS DOUBLE) AS confidence
@@ -175,3 +175,21 @@ def rule_facts(t: Tables) -> DataFrame:
     w = F.concat(F.lit("brand"), F.col("p_size"))
     said = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Increase in "), w, F.lit(" leads to an increase in density"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("alignment is improved by "), w)).when(F.col("p_size") % 4 == 2, F.concat(w, F.lit(" does not affect height at 10 nm"))).otherwise(F.concat(w, F.lit(" improves density and height")))
     return stated_facts(t.part.select("p_partkey", said.alias("said")), "p_partkey", "said")
+
+
+FORMS = [
+    "'brand' || p_size || ' increases the density of forests.'", "'Increase in flow ' || p_size || ' leads to taller tubes; more'", "'Alignment is improved by ' || p_name || '.'",
+    "'Heat enhances growth and reduces ' || p_type || '!'", "'Pressure reduces height and ' || p_type", "'Higher power ' || p_size || ' results in better order.'",
+    "'The ' || p_name || ' does not affect height'", "'when temperature > ' || (700 + p_size) || ', alignment improves'", "'with catalyst ' || p_size || ', yield is improved'", "'density 随着 温度' || p_size || ' 增加'", "'nothing is said of ' || p_name",
+]
+SAID = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(FORMS)) + " END"
+_FOUND = [(k, form, relation, direction, pattern.replace("'", "''"), g["src"], g[end]) for k, (form, relation, direction, pattern) in enumerate(statements.PATTERNS) for g in (statements.places(pattern),) for end in ("tgt", "tgt2") if end in g]
+
+
+@query("U04", f"WITH s AS (SELECT p_partkey, {SAID} AS s FROM part), f AS (" + " UNION ALL ".join(f"SELECT p_partkey, {n} AS n, '{form}' AS form, trim(regexp_extract(s, '(?i){p}', {a})) AS source, trim(regexp_extract(s, '(?i){p}', {b})) AS target, '{relation}' AS relation, '{direction}' AS direction FROM s WHERE regexp_matches(s, '(?i){p}')" for n, (_, form, relation, direction, p, a, b) in enumerate(_FOUND)) + """),
+u AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, source, target, relation ORDER BY n) AS r FROM f WHERE source <> '' AND target <> '')
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY n) - 1 AS INT) AS place, form, source, target, relation, direction, form = 'negation' AS negated FROM u WHERE r = 1""")
+def enhanced_facts(t: Tables) -> DataFrame:
+    """Facts of sentences in ten forms by all patterns, and of one that states nothing."""
+    said = t.part.select("p_partkey", F.expr(SAID).alias("said"))
+    return statements.facts(said, "p_partkey", "said")

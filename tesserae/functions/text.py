@@ -162,3 +162,19 @@ def conditions(text: Column) -> Column:
 def condition_holds(op: Column, lo: Column, hi: Column, value: Column) -> Column:
     """whether a value meets a condition; equality within 0.01."""
     return F.when(op == ">", value > lo).when(op == "<", value < lo).when(op == "=", F.abs(value - lo) < 0.01).when(op == "in_range", (value >= lo) & (value <= hi)).otherwise(F.lit(False))
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def event_stream(pieces: Column, error: Column, session: Column) -> Column:
+    """A server-sent event for each piece of an answer; an error's event and an end where there
+    is one, and the session's end in any case. No piece is lost to an error after it."""
+    event = lambda *parts: F.concat(F.lit("data: {"), *parts, F.lit("}\n\n"))
+    told = F.transform(F.filter(pieces, lambda p: p.isNotNull()), lambda p: event(F.lit('"type": "content", "text": '), _quoted(p)))
+    broken = F.when(error.isNotNull(), F.array(event(F.lit('"type": "error", "detail": '), _quoted(F.when(error == "", "unknown stream error").otherwise(error))), event(F.lit('"type": "done"'))))
+    done = F.array(event(F.lit('"type": "done", "session_id": '), _quoted(session)))
+    return F.concat(F.coalesce(told, F.array().cast("array<string>")), F.coalesce(broken, F.array().cast("array<string>")), done)

@@ -137,5 +137,5 @@ def valid_ids(ids: Column) -> Column:
 def split_by_group(groups: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Whole groups to train, val or test by a hash of their key, so the same key always goes
     to the same part and no order over all groups is needed."""
-    u = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(10000)) / 10000.0
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10000 / 10000.0
     return groups.withColumn("part", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))

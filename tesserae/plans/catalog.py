@@ -244,7 +244,7 @@ def f1_sets(t: Tables) -> DataFrame:
     return c.select("q", "common", F.round(F.col("common") / F.col("g"), 6).alias("precision"), F.round(F.col("common") / F.col("w"), 6).alias("recall"), f1.alias("f1"))
 
 
-@query("D09", None)
+@query("D09", "WITH u AS (SELECT doc_id, source, CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 10000 / 10000.0 AS u FROM documents) SELECT doc_id, source, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS part FROM u")
 def grouped_split(t: Tables) -> DataFrame:
     """Whole groups to train, val and test; no source is in two parts."""
     return C.split_by_group(t.documents.select("doc_id", "source"), "source")

@@ -1,23 +1,25 @@
 """Language-model scoring with a hidden Markov model over word classes.
 
-A token's class is a hash of the word, so there are a fixed number of classes; the end of a text
-is a class of its own. Latent states follow each other and emit classes; a class emits its words
-in proportion to their smoothed counts in the training corpus. With the base model's
-probability p(w) = (c + 0.1) / (N + 0.1 (V + 1)) and p(class) the sum of p over the class's known
-words and one unknown one, the probability of a text is
+A token's class is a hash of the word; the number of classes grows with the root of the counted
+vocabulary, and the end of a text is a class of its own. Latent states follow each other and emit
+classes; a class emits its words in proportion to their smoothed counts in the training corpus.
+With the base model's probability p(w) = (c + 0.1) / (N + 0.1 (V + 1)) and p(class) the sum of p
+over the class's known words and one unknown one, the probability of a text is
 
     P(text) = P_hmm(classes) * product over tokens of p(w) / p(class of w).
 
 Counting. Every task reduces its texts to a vocabulary with training counts and a sparse matrix
-of texts and words. Vocabularies are dealt out by ranges of word hashes and summed there; the
-sums return to the batch they came from, and each batch scores its matrix. A word as frequent as
-"the" costs a record a batch, and no table of all words is collected or broadcast.
-
-Training. Baum-Welch starts from a random model, which breaks the symmetry of the states. Every
-round runs over all whole training texts: a task's expected counts, of a size set by states and
-classes, and its log likelihood are summed by ranges of classes. Rounds go on until the likelihood
-settles. For training, texts are taken in stretches of at most `stretch` tokens; scoring runs the
-scaled forward recursion over whole texts, so the likelihood is exact.
+of texts and words. Vocabularies are dealt out by ranges of word hashes, one range a task, and
+summed there; the sums return to the batch they came from, and each batch scores its matrix. A
+word as frequent as "the" costs a record a batch, and no table of all words is collected or
+broadcast.
+
+Training. Training texts are written once as sequences of classes. Baum-Welch starts from a random
+model, which breaks the symmetry of the states. Every round runs the scaled forward and backward
+recursions over every training text from its first token to its end, however long; a task's
+expected counts, of a size set by states and classes, and its log likelihood are summed in two
+levels. Rounds go on until the likelihood settles, `rounds` times at most. Scoring runs the scaled
+forward recursion over whole texts in double precision, so the likelihood is exact.
 
 Defined cases: null and empty texts have the end token alone; texts with null ids are scored and
 count as held out; repeated rows count and are scored each; without training texts every token
@@ -26,6 +28,7 @@ is unknown and states say nothing; an empty table gives no row; further columns
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -36,25 +39,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words
-from tesserae.llm.common import buffers, fan, pieces, saved
+from tesserae.llm.common import buffers, forget, lean, pieces, ranges, saved
 
 _FLUSH = 1_500_000  # words of a batch
+_ROOM = 1 << 18  # tokens whose forward probabilities are held at a time: few enough for a cache
+_BATCH = 1 << 22  # tokens of texts that go forward together: the more, the fewer steps a token
+_LONG = 2_048  # tokens of a text that trains among the long ones
+_SHARDS = 64  # groups that tasks' counts are summed in before they meet
+
+
+_FINE = 18  # bits of the finest classes that words are counted by
 
 
 @dataclass(frozen=True)
 class Shape:
     states: int = 8
-    class_bits: int = 14
-    sample: int = 2_000  # not used: no round runs on a sample
-    sample_rounds: int = 12  # not used
-    rounds: int = 3  # over the whole training corpus, at least
+    rounds: int = 8  # over all training texts, at most
     settled: float = 1e-4  # the gain of log10 likelihood a token under which rounds end
-    stretch: int = 512
     prior: float = 20.0  # tokens' worth of the base classes in each state's emissions
+    spread: float = 16.0  # classes for each unit of the vocabulary's square root
 
-    @property
-    def classes(self) -> int:
-        return 1 << self.class_bits
+    def bits(self, types: int) -> int:
+        """Classes are a power of two near `spread` times the root of the number of distinct words."""
+        return min(max(round(math.log2(self.spread * math.sqrt(types + 1))), 4), _FINE)
 
 
 def held_out(ids: list[int | None], modulus: int = 10) -> np.ndarray:
@@ -117,6 +124,8 @@ _SUMMED = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("counts", pa.
 
 
 def _sum(class_bits: int):
+    """Counts of a range's words over all batches, back to each batch, and sums by fine classes."""
+
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         own = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
@@ -234,99 +243,174 @@ def forward(model: Model, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return out
 
 
-def expected(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int) -> np.ndarray:
+def expected(model: Model, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Expected counts of starts, steps and emissions: the E step of Baum-Welch."""
-    return estep(model, tokens, offsets, stretch)[0]
+    return estep(model, tokens, offsets)[0]
+
 
+def estep(model: Model, tokens: np.ndarray, offsets: np.ndarray, room: int = _ROOM) -> tuple[np.ndarray, float]:
+    """Expected counts over whole sequences, and their log10 likelihood.
 
-def estep(model: Model, tokens: np.ndarray, offsets: np.ndarray, stretch: int) -> tuple[np.ndarray, float]:
-    """Expected counts, and the log10 likelihood of the stretches."""
+    All sequences go forward and backward a step at a time, longest first, in single precision. What
+    the backward recursion needs of the forward one is kept for `room` tokens at a time and worked
+    out again from the state before them, so memory doesn't grow with the sequences' lengths."""
     k = len(model.start)
     counts = np.zeros(k + k * k + model.emit.size)
     lengths = np.diff(offsets)
-    cuts = np.maximum(-(-lengths // stretch), 1)
-    piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = np.repeat(offsets[:-1], cuts) + piece * stretch
-    size = np.minimum(stretch, np.repeat(offsets[1:], cuts) - begin)
-    order, starts, active = _ragged(begin, size)
-    if not len(active):
+    if not len(lengths):
         return counts, 0.0
-    first = piece[order] == 0
-    level = np.full(k, 1 / k)
-    for _ in range(50):
-        level = level @ model.step  # what a stretch inside a text starts from
-    where = [starts[:n] + t for t, n in enumerate(active.tolist())]
-    alphas, scales, emits = [], [], []
-    for t, at in enumerate(where):
-        emit = model.emit[tokens[at]]
-        alpha = np.where(first[:, None], model.start, level) if t == 0 else alphas[-1][: len(at)] @ model.step
-        alpha = alpha * emit
-        scale = alpha.sum(axis=1, keepdims=True)
-        alphas.append(alpha / scale)
-        scales.append(scale)
-        emits.append(emit)
-    steps, beta = np.zeros((k, k)), np.ones((len(where[-1]), k))
-    gammas = [None] * len(where)
-    for t in range(len(where) - 1, -1, -1):
-        n = len(where[t])
-        if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-        gammas[t] = alphas[t] * beta
-        if t:
-            push = emits[t] * beta / scales[t]
-            steps += alphas[t - 1][:n].T @ push
-            beta = push @ model.step.T
-    gamma, cls = np.concatenate(gammas), tokens[np.concatenate(where)]
-    counts[:k] = gammas[0][first].sum(axis=0)
+    order, _, active = _ragged(offsets[:-1], lengths)
+    small = np.int32 if len(tokens) < 2**31 else np.int64
+    at = np.concatenate([[0], np.cumsum(active)]).astype(small)
+    place = np.empty(len(lengths), small)
+    place[order] = np.arange(len(lengths), dtype=small)
+    major = np.empty(len(tokens), tokens.dtype)  # step by step
+    where = np.arange(len(tokens), dtype=small)
+    where -= np.repeat(offsets[:-1].astype(small), lengths)
+    where = at[where]
+    where += np.repeat(place, lengths)
+    major[where] = tokens
+    del where
+    # A row a state: sums and products of all sequences run over contiguous numbers.
+    emit, step, ones = (np.ascontiguousarray(x, np.float32) for x in (model.emit.T, model.step, np.ones(k)))
+    forth, start = np.ascontiguousarray(step.T), model.start.astype(np.float32)[:, None]
+
+    def ahead(lo: int, hi: int, before: np.ndarray):
+        """Emissions, scaled forward probabilities and scales of the steps from `lo` to `hi`."""
+        base = at[lo]
+        e = emit.take(major[base : at[hi]], axis=1)
+        alpha, scale = np.empty_like(e), np.empty(e.shape[1], np.float32)
+        cuts = (at[lo : hi + 1] - base).tolist()
+        for t, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), lo):
+            now = forth @ before[:, : j - i] if t else np.repeat(start, j - i, axis=1)
+            now *= e[:, i:j]
+            total = ones @ now
+            now /= total
+            scale[i:j], alpha[:, i:j] = total, now
+            before = now
+        return e, alpha, scale
+
+    bounds, befores = [0], [np.empty((k, 0), np.float32)]
+    while bounds[-1] < len(active):
+        lo = bounds[-1]
+        hi = max(int(np.searchsorted(at, at[lo] + room, side="right")) - 1, lo + 1)
+        bounds.append(min(hi, len(active)))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        held = ahead(lo, hi, befores[-1])
+        befores.append(held[1][:, at[hi - 1] - at[lo] :].copy())
+    steps, beta, likelihood = np.zeros((k, k)), np.ones((k, active[0]), np.float32), 0.0
+    emitted = counts[k + k * k :].reshape(-1, k)
+    for s in range(len(bounds) - 2, -1, -1):
+        lo, hi = bounds[s], bounds[s + 1]
+        if held is None:
+            held = ahead(lo, hi, befores[s])
+        e, alpha, scale = held
+        held = None
+        base = at[lo]
+        cuts = (at[lo : hi + 1] - base).tolist()
+        for t in range(hi - 1, lo - 1, -1):
+            i, j = cuts[t - lo], cuts[t - lo + 1]
+            b = beta[:, : j - i]
+            push = e[:, i:j] * b
+            push /= scale[i:j]
+            alpha[:, i:j] *= b  # now the probability of each state
+            if t:
+                before = alpha[:, cuts[t - lo - 1] :][:, : j - i] if t > lo else befores[s][:, : j - i]
+                steps += before @ push.T
+                np.matmul(step, push, out=b)
+        if not lo:
+            counts[:k] = alpha[:, : active[0]].sum(axis=1, dtype=np.float64)
+        own = major[base : at[hi]]
+        for state in range(k):
+            emitted[:, state] += np.bincount(own, weights=alpha[state], minlength=emit.shape[1])
+        likelihood += float(np.log10(scale).sum(dtype=np.float64))
     counts[k : k + k * k] = (steps * model.step).reshape(-1)
-    emit = counts[k + k * k :].reshape(-1, k)
-    for s in range(k):
-        emit[:, s] = np.bincount(cls, weights=gamma[:, s], minlength=len(model.emit))
-    return counts, float(sum(np.log10(x).sum() for x in scales))
+    return counts, likelihood
 
 
-def _expect(model, bits: int, stretch: int, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+_SEQUENCES = pa.schema([("tokens", pa.binary()), ("lengths", pa.binary())])
+
+
+def _encode(bits: int):
+    """Texts as sequences of classes, packed in rows of many: long ones apart, so that few rows
+    take the many steps that a long text takes."""
+    kind = np.uint16 if bits < 16 else np.uint32
+
+    def packed(box: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, lengths = (np.concatenate(x) for x in zip(*box, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary()), pa.array([lengths.astype(np.int32).tobytes()], pa.binary())], schema=_SEQUENCES)
 
     def run(it):
-        total, likelihood = None, 0.0
+        boxes, held = ([], []), [0, 0]
         for b in it:
-            b = b.filter(pa.array(~held_out(b.column("doc_id").to_pylist()), pa.bool_()))
             raw, at = buffers(b.column("text"))
             for _, _, part, offsets in pieces(raw, at):
-                own, more = estep(model.value, *_sequences(part, offsets, bits)[:2], stretch)
-                total, likelihood = own if total is None else total + own, likelihood + more
+                tokens, bounds, _ = _sequences(part, offsets, bits)
+                lengths = np.diff(bounds)
+                for n, mine in enumerate((lengths <= _LONG, lengths > _LONG)):
+                    if mine.any():
+                        boxes[n].append((tokens[np.repeat(mine, lengths)].astype(kind), lengths[mine]))
+                        held[n] += int(lengths[mine].sum())
+                        if held[n] >= _BATCH:
+                            yield packed(boxes[n])
+                            boxes[n].clear()
+                            held[n] = 0
+        for box in boxes:
+            if box:
+                yield packed(box)
+
+    return run
+
+
+def _expect(model, bits: int, parts: int):
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())])
+    kind = np.uint16 if bits < 16 else np.uint32
+
+    def run(it):
+        total = None
+        for b in it:
+            for tokens, lengths in zip(b.column("tokens"), b.column("lengths"), strict=True):
+                tokens, lengths = np.frombuffer(tokens.as_buffer(), kind), np.frombuffer(lengths.as_buffer(), np.int32)
+                own = np.append(*estep(model.value, tokens, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])))
+                total = own if total is None else total + own
         if total is not None:
-            total = np.append(total, likelihood)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, parts)], pa.binary())], schema=schema)
+            shard = TaskContext.get().partitionId() % _SHARDS
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([shard] * parts, pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, parts)], pa.binary())], schema=schema)
 
     return run
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.float64) for x in t.column("counts").to_pylist()], axis=0)
+    total = np.zeros(len(t.column("counts")[0].as_buffer()) // 8)
+    for x in t.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.float64)
     return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
 
-def train(docs: DataFrame, base: np.ndarray, shape: Shape) -> Model:
-    """Baum-Welch on all training texts of `docs` (doc_id, text)."""
+def train(docs: DataFrame, base: np.ndarray, shape: Shape, bits: int) -> Model:
+    """Baum-Welch on all rows of `docs` (text), whole, with 2**`bits` classes and the end."""
     spark = docs.sparkSession
+    sequences = saved(docs.select("text").mapInArrow(lean(_encode(bits)), "tokens binary, lengths binary"), "sequences")
     model = Model.guess(base, shape.states)
     k = shape.states
-    parts, before, done = min(fan(spark), 32), -np.inf, 0
-    while True:
+    parts, before = min(32, max(1, len(base) >> 9)), -np.inf
+    for _ in range(shape.rounds):
         sent = spark.sparkContext.broadcast(model)
-        told = docs.select("doc_id", "text").mapInArrow(_expect(sent, shape.class_bits, shape.stretch, parts), "part int, counts binary")
+        told = sequences.mapInArrow(lean(_expect(sent, bits, parts)), "part int, shard int, counts binary")
+        # In two levels: however many tasks there are, no group gathers the counts of all of them.
+        told = told.groupBy("part", "shard").applyInArrow(_add, "part int, counts binary")
         rows = told.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()
         sent.unpersist()
         if not rows:
-            return model
+            break
         counts = np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["part"])])
         counts, likelihood = counts[:-1], counts[-1] / max(counts[k + k * k : -1].sum(), 1.0)
-        model, done = model.fitted(counts, shape.prior), done + 1
-        if done >= shape.rounds and likelihood - before < shape.settled:
-            return model
+        model = model.fitted(counts, shape.prior)
+        if likelihood - before < shape.settled:
+            break
         before = likelihood
+    forget(sequences)
+    return model
 
 
 def _likelihood(model, bits: int):
@@ -361,25 +445,26 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = fan(spark)
-    counted = saved(rows.mapInArrow(_count(parts), _COUNTED_DDL), "vocabularies")
-    summed = counted.where("part >= 0").select("batch", "part", "words", "counts").groupBy("part")
-    summed = saved(summed.applyInArrow(_sum(shape.class_bits), "batch long, part int, counts binary, classes binary, sums binary, types binary"), "counts")
+    out_of = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(True))
+    parts = ranges(rows)
+    counted = saved(rows.mapInArrow(lean(_count(parts)), _COUNTED_DDL), "vocabularies")
+    # One range a task: the largest task holds one range of words, however many there are.
+    summed = counted.where("part >= 0").select("batch", "part", "words", "counts").repartitionById(parts, "part").groupBy("part")
+    summed = saved(summed.applyInArrow(_sum(_FINE), "batch long, part int, counts binary, classes binary, sums binary, types binary"), "counts")
     ends = counted.where("part < 0").agg(F.sum("ends")).first()[0] or 0
-    known, distinct = np.zeros(shape.classes + 1), np.zeros(shape.classes + 1)
-    for r in summed.where("batch < 0").select("classes", "sums", "types").collect():  # a row a range, a number a class
+    known, distinct = np.zeros(1 << _FINE), np.zeros(1 << _FINE)
+    for r in summed.where("batch < 0").select("classes", "sums", "types").collect():  # a number a fine class, whatever the words
         np.add.at(known, np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sums"], np.int64))
         np.add.at(distinct, np.frombuffer(r["classes"], np.int64), np.frombuffer(r["types"], np.int64))
     tokens, types = int(known.sum()) + ends, int(distinct.sum()) + (ends > 0)
+    bits = shape.bits(types)
     norm = tokens + 0.1 * (types + 1)
-    p = (known + 0.1 * distinct + 0.1) / norm
-    p[-1] = (ends + 0.1) / norm
+    p = np.append((known + 0.1 * distinct).reshape(1 << bits, -1).sum(axis=1) + 0.1, ends + 0.1) / norm
     matrix = counted.where("part < 0").select("batch", "docs", "sig", "valid", "starts", "low", "high", "times")
     returned = summed.where("batch >= 0").select("batch", "part", "counts")
     base = matrix.groupBy("batch").cogroup(returned.groupBy("batch")).applyInArrow(_base(tokens, types, ends), "doc_id long, sig long, n_tokens long, n_known long, base_score double")
-    model = train(rows, p, shape)
+    model = train(rows.where(~out_of), p, shape, bits)
     sent = spark.sparkContext.broadcast(model)
-    gains = rows.mapInArrow(_likelihood(sent, shape.class_bits), "_id long, _sig long, gain double").dropDuplicates(["_id", "_sig"])
+    gains = rows.mapInArrow(lean(_likelihood(sent, bits)), "_id long, _sig long, gain double").dropDuplicates(["_id", "_sig"])
     out = base.join(gains, base["doc_id"].eqNullSafe(gains["_id"]) & (base["sig"] == gains["_sig"]))
-    out_of = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(True))
     return out.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))

@@ -80,8 +80,9 @@ def segments(word: np.ndarray, first: np.ndarray, size: int, anchor: int) -> tup
 
 
 def _pack(records: np.ndarray, parts: int):
-    """Records by the range of their key."""
-    part = (((records["key"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    """Records by the range of their key's hash: anchors are least hashes themselves, so ranges of
+    plain keys would be uneven."""
+    part = (((words.mix(records["key"]) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     at = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(at)).tolist():

@@ -377,7 +377,7 @@ def extract(pages: DataFrame, run: int = RUN, structure: bool = True) -> DataFra
     counted = keyed.select("host", "page", "html").mapInArrow(lean(_suffixes(run, structure, parts)), "part int, keys binary, pages binary, counts binary, opens binary, which binary, hosts binary")
     repeats = saved(counted.repartitionById(parts, "part").groupBy("part").applyInArrow(_repeats, "key long, host long, pages long, in_open boolean"), "repeats")
     # Only repeats that decide about a block return: those in open blocks, and what most pages of a host have.
-    hosts = keyed.groupBy("host").agg(F.count_distinct("page").alias("of")).where(F.col("of") >= WIDE)
+    hosts = keyed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= WIDE)
     wide = F.coalesce(F.col("pages") * 2 > F.col("of"), F.lit(False))
     asked = saved(repeats.join(hosts, "host", "left").select("key", wide.alias("wide"), "in_open").where("wide OR in_open").select("key", "wide"), "asked")
     shown = "page_id long, url string, text string"

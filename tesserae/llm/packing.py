@@ -38,7 +38,6 @@ from tesserae.llm.common import lean, saved
 
 SIZE = 1024  # tokens of a sequence
 END = 2  # the id behind every document
-STEPS = 4000  # steps of the local search at most
 _MEMORY = 200_000  # distinct pre-tokens remembered at a time, about 45 MB; a task forgets them at its end
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64()), ("ids", pa.binary())])
@@ -180,16 +179,18 @@ def _without(pattern: tuple[int, ...], gone: Iterable[int], new: Iterable[int])
 
 def _parts(pattern: tuple[int, ...]) -> list[tuple[int, ...]]:
     """What one side of an exchange may give: nothing, one piece, or two."""
-    ones = sorted(set(pattern))
-    twos = {tuple(sorted((a, b))) for i, a in enumerate(pattern[:24]) for b in pattern[i + 1 : 24]}
+    held = Counter(pattern)
+    ones = sorted(held)  # 44 at most, whatever the number of pieces: no more lengths have a sum of 1024
+    twos = {(a, b) for a in ones for b in ones if a < b or a == b and held[a] > 1}
     return [(), *((a,) for a in ones), *sorted(twos)]
 
 
-def local_search(bins: Counter, size: int, steps: int = STEPS) -> Counter:
-    """Exchanges between underfull sequences that raise the sum of squared fills."""
+def local_search(bins: Counter, size: int) -> Counter:
+    """Exchanges between underfull sequences that raise the sum of squared fills, until no sequence
+    can give any more; each one raises a bounded whole number, so there is an end."""
     bins = Counter(bins)
     stuck: set[tuple[int, ...]] = set()
-    for _ in range(steps):
+    while True:
         open_bins = sorted((sum(p), p) for p, n in bins.items() if n > 0 and sum(p) < size)
         donor = next(((f, p) for f, p in open_bins if p not in stuck), None)
         if donor is None:

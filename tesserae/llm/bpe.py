@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import lean
 
-CHUNK = 1 << 16  # characters of a chunk
-OVERLAP = 1 << 10  # characters that a chunk has beyond the next one's start
+CHUNK = 1 << 12  # characters of a chunk
+OVERLAP = 1 << 8  # characters that a chunk has beyond the next one's start
 _UNSURE = 16  # boundaries this near the end of a cut text may change with what follows
 _MEMORY = 200_000  # distinct pre-tokens remembered at a time, about 50 MB; a task forgets them at its end
 
@@ -197,7 +197,7 @@ def _join(path: str, pattern: str, size: int, digests: bool):
     return run
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, spread: int = 4 * CHUNK, digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, spread: int = 8 * CHUNK, digests: bool = False) -> DataFrame:
     """One row a document: doc_id, n_tokens, and `ids` (packed little-endian unsigned 32-bit) with
     `decoded` bytes, or their SHA-256 digests if `digests`.
 

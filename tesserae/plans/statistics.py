@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import catalog as C
+from tesserae.operators import predict as P
 from tesserae.operators import stats as S
+from tesserae.operators.blocks import spread
 from tesserae.plans.registry import Tables, query
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -210,12 +212,10 @@ w AS (SELECT k, y, exp(-abs(test.a - train.a) / 5.0) * exp(-abs(test.b - train.b
 SELECT k, round(sum(w * y) / sum(w), 8) AS mean, round(sqrt(greatest(sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2, 0)), 6) AS sigma, count(*) FILTER (WHERE w > p) AS support, round(max(w), 8) AS top FROM w JOIN q USING (k) GROUP BY k""")
 def kernel_baseline(t: Tables) -> DataFrame:
     """Kernel-weighted means of a stated query set (every twentieth supplier) over the pool."""
-    test = t.supplier.where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("ta"), F.col("s_acctbal").alias("tb"))
-    train = t.customer.select(F.col("c_nationkey").alias("a"), F.col("c_acctbal").alias("b"), (F.col("c_custkey") % 97).alias("y"))
-    w = train.crossJoin(test).select("k", "y", (F.exp(-F.abs(F.col("ta") - F.col("a")) / 5.0) * F.exp(-F.abs(F.col("tb") - F.col("b")) / 2000.0)).alias("w"))
-    q = w.groupBy("k").agg(F.percentile("w", F.lit(0.75)).alias("p"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"), (F.sum(F.col("w") * F.col("y") * F.col("y")) / F.sum("w")).alias("m2"), F.max("w").alias("top"))
-    n = w.join(q.select("k", "p"), "k").groupBy("k").agg(F.count_if(F.col("w") > F.col("p")).alias("support"))
-    return q.join(n, "k").select("k", F.round("m", 8).alias("mean"), F.round(F.sqrt(F.greatest(F.col("m2") - F.col("m") ** 2, F.lit(0.0))), 6).alias("sigma"), "support", F.round("top", 8).alias("top"))
+    test = t.supplier.where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("a"), F.col("s_acctbal").alias("b"))
+    train = t.customer.select("c_custkey", F.col("c_nationkey").alias("a"), F.col("c_acctbal").alias("b"), (F.col("c_custkey") % 97).alias("y"))
+    q = P.kernel_summary(spread(train), test, ["a", "b"], "y", [5.0, 2000.0], 0.75, "c_custkey", "k")
+    return q.select("k", F.round("m", 8).alias("mean"), F.round(F.sqrt(F.greatest(F.col("m2") - F.col("m") ** 2, F.lit(0.0))), 6).alias("sigma"), "support", F.round("top", 8).alias("top"))
 
 
 @query("A46", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1")

@@ -173,12 +173,15 @@ def mask_rows(pixels: DataFrame, image: str) -> DataFrame:
 
 
 def junction_counts(pixels: DataFrame, image: str) -> DataFrame:
-    """The same by joins: each set pixel tells its eight neighbours, and counts come together."""
+    """The same by sums: each set pixel tells itself and its eight neighbours, and counts come
+    together in one aggregation. A pixel told more than once is one, and its neighbours count for each."""
     on = pixels.where("v > 0").select(image, "y", "x")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in Y._NEAR]))
-    told = on.select(image, "y", "x", steps.alias("s")).select(image, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).groupBy(image, "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    counted = on.join(told, [image, "y", "x"], "left")
-    return counted.groupBy(image).agg(F.count_if(F.col("n") >= 3).alias("junctions"), F.count_if(F.col("n") == 1).alias("ends"), F.count(F.lit(1)).alias("skeleton"))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 0), *Y._NEAR)]))
+    own = (F.col("s.dy") == 0) & (F.col("s.dx") == 0)
+    told = on.select(image, "y", "x", steps.alias("s")).select(image, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), own.alias("own"))
+    counted = told.groupBy(image, "y", "x").agg(F.count_if("own").alias("times"), F.count_if(~F.col("own")).alias("n")).where("times > 0")
+    n = F.when(F.col(image).isNotNull(), F.col("times") * F.col("n")).otherwise(0)
+    return counted.select(image, n.alias("n")).groupBy(image).agg(F.count_if(F.col("n") >= 3).alias("junctions"), F.count_if(F.col("n") == 1).alias("ends"), F.count(F.lit(1)).alias("skeleton"))
 
 
 def overlap(pixels: DataFrame, image: str, predicted: Column, wanted: Column) -> DataFrame:

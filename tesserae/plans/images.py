@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import images as I
+from tesserae.operators.blocks import spread
 from tesserae.plans.registry import Tables, query
 
 LINES = "p AS (SELECT s_suppkey AS branch, s_nationkey AS image, i, i * 1.0 AS x, 12 * sin(2 * pi() * i / (20 + s_suppkey % 30)) * (s_suppkey % 4) / 3.0 AS y FROM supplier, range(0, 120) r(i))"
@@ -18,7 +19,7 @@ def lines(t: Tables) -> DataFrame:
 
 
 def pixels(t: Tables) -> DataFrame:
-    at = t.supplier.select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y")).select("image", "y", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
+    at = spread(t.supplier).select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y")).select("image", "y", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
     return at.withColumn("v", F.when((F.col("y") == 8) | (F.col("x") == F.col("image") % 20 + 2) | ((F.col("x") == F.col("y")) & (F.col("x") < 6)), 1).otherwise(0))
 
 

@@ -192,6 +192,16 @@ def test_curvature_of_a_circle(spark):
     assert (same.junctions, same.skeleton) == (2, 4) or same.skeleton == 4
 
 
+def test_junctions_without_a_join(spark):
+    """Exploded rows look as small as what they came from, so a join of them would broadcast them all."""
+    cross = [(1, y, x, int(y == 3 or x == 3)) for y in range(7) for x in range(7)]
+    lone = [(2, 5, 5, 1), (3, 0, 0, 0), (None, 1, 1, 1), (None, 1, 2, 1)]
+    twice = [(4, 0, 0, 1), (4, 0, 1, 1), (4, 0, 1, 1), (4, 0, 2, 1)]
+    found = images.junction_counts(spark.createDataFrame(cross + lone + twice, "g long, y int, x int, v int"), "g")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, 5, 4, 13), (2, 0, 0, 1), (None, 0, 0, 2), (4, 1, 0, 3)}
+
+
 def test_neighbours_skip_missing_features(spark):
     pool = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 1.0, None, 2.0), (3, 5.0, 5.0, 3.0), (4, None, None, 4.0), (5, 0.0, 1.0, None)], "id long, a double, b double, y double")
     near = predict.neighbours(pool, pool.where("id = 1").withColumnRenamed("id", "qid"), ["a", "b"], "y", 5)

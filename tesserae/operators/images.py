@@ -96,13 +96,15 @@ def profiles(points: DataFrame, branch: str) -> DataFrame:
     """Each branch of 20 points or more seen along its principal axis: mean places (s) and
     heights (level) of columns one pixel wide, less their straight line, smoothed over five columns."""
     axis = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
-    shape = points.groupBy(branch).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
-    turned = points.join(shape.where("n >= 20").select(branch, "mx", "my", axis.alias("a")), branch)
+    one = Window.partitionBy(branch)
+    whole = lambda *order: one.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # noqa: E731  # sums in one order
+    shape = {"n": F.count(F.lit(1)), "mx": F.avg("x"), "my": F.avg("y"), "xx": F.var_pop("x"), "yy": F.var_pop("y"), "xy": F.covar_pop("x", "y")}
+    known = points.where(F.col(branch).isNotNull()).select(branch, "y", "x", *[f.over(whole("x", "y")).alias(c) for c, f in shape.items()])
+    turned = known.where("n >= 20").select(branch, "y", "x", "mx", "my", axis.alias("a"))
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     seen = turned.select(branch, (dx * F.cos("a") + dy * F.sin("a")).alias("s"), (dy * F.cos("a") - dx * F.sin("a")).alias("d"))
-    one = Window.partitionBy(branch)
     columns = seen.withColumn("c", F.round(F.col("s") - F.min("s").over(one)).cast("int")).groupBy(branch, "c").agg(F.avg("s").alias("s"), F.avg("d").alias("d"))
-    flat = columns.select(branch, "c", "s", (F.col("d") - F.regr_intercept("d", "s").over(one) - F.regr_slope("d", "s").over(one) * F.col("s")).alias("r"), F.count(F.lit(1)).over(one).alias("m"))
+    flat = columns.select(branch, "c", "s", (F.col("d") - F.regr_intercept("d", "s").over(whole("c")) - F.regr_slope("d", "s").over(whole("c")) * F.col("s")).alias("r"), F.count(F.lit(1)).over(whole("c")).alias("m"))
     return flat.where("m >= 12").select(branch, "c", "s", (F.sum("r").over(one.orderBy("c").rowsBetween(-2, 2)) / 5).alias("level"))
 
 

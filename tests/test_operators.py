@@ -294,6 +294,18 @@ def test_waves_of_a_sine(spark):
     assert got["turned"].ratio == pytest.approx(r.ratio, rel=0.05)
 
 
+def test_waves_without_a_join(spark):
+    """Exploded points look as small as what they came from, so a join of them would broadcast them all."""
+    point = F.explode(F.sequence(F.lit(0), F.lit(239))).alias("i")
+    lines = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).alias("b"), point).select("b", F.col("i").cast("double").alias("x"), (8 * F.sin(2 * math.pi * F.col("i") / 40)).alias("y"))
+    found = images.wave_rows(lines, "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = found.collect()
+    assert sorted(r.b for r in got) == list(range(8)) and all(r[1:] == got[0][1:] for r in got)
+    assert sorted(got) == sorted(images.wave_rows(lines.repartition(7), "b").collect())
+
+
 def test_turns_keep_the_more_extreme_rival(spark):
     heights = [0, 3, 0, 4, 0, 0, 0, 0, 0, 0, 0, -5, 0, -2, 0, 0, 0, 0, 0, 0, 0, 0, 6, 0]
     df = spark.createDataFrame([("b", i, float(i), float(h)) for i, h in enumerate(heights)], "b string, c int, s double, level double")

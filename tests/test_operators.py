@@ -192,6 +192,23 @@ def test_curvature_of_a_circle(spark):
     assert (same.junctions, same.skeleton) == (2, 4) or same.skeleton == 4
 
 
+def test_residual_baseline_meets_vectors_not_rows(spark, monkeypatch):
+    met, packed = [], predict.blocks.packed
+    monkeypatch.setattr(predict.blocks, "packed", lambda df, *a: met.append(df.count()) or packed(df, *a))
+    n = np.arange(1200)
+    fold, a, y = n % 3, n % 10 * 2.0, n * 7 % 31 + n % 10 * 1.0
+    told = predict.residual_cv(spark.createDataFrame([*zip(n.tolist(), fold.tolist(), a.tolist(), y.tolist(), strict=True)], "id long, fold int, a double, y double"), ["a"], "y", [5.0], 3)
+    got = {r.id: r for r in told.collect()}
+    assert met == [10, 10] and len(got) == 1200 and told.columns == ["id", "fold", "a", "y", "baseline", "prediction"]
+    weight = np.exp(-np.abs(a[:, None] - a[None, :]) / 5.0) * (n[:, None] != n[None, :])
+    for f in range(3):
+        outside = weight * (fold != f)[None, :]
+        base = outside @ y / outside.sum(1)
+        slope, intercept = np.polyfit(a[fold != f], (y - base)[fold != f], 1)
+        for i in n[fold == f]:
+            assert got[i].baseline == pytest.approx(base[i]) and got[i].prediction == pytest.approx(base[i] + slope * a[i] + intercept)
+
+
 def test_junctions_without_a_join(spark):
     """Exploded rows look as small as what they came from, so a join of them would broadcast them all."""
     cross = [(1, y, x, int(y == 3 or x == 3)) for y in range(7) for x in range(7)]

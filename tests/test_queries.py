@@ -57,6 +57,15 @@ def test_kernel_baseline_of_odd_rows(spark, tmp_path):
     compared(spark, tmp_path, "kernel_baseline")
 
 
+def test_residual_folds_of_odd_rows(spark, tmp_path):
+    """Missing keys, sizes and prices, rows told twice, one key with two sizes, and a size of its own far off."""
+    import duckdb
+
+    rows = "SELECT CASE WHEN i % 37 > 0 THEN i END AS p_partkey, CASE WHEN i % 23 > 0 THEN CAST(i * 7 % 40 AS INT) END AS p_size, CASE WHEN i % 19 > 0 THEN 900.0::DOUBLE + i * 13 % 101 END AS p_retailprice FROM range(400) r(i)"
+    duckdb.sql(f"{rows} UNION ALL ({rows} WHERE i % 8 = 3) UNION ALL SELECT 5, 18, 1000.5::DOUBLE UNION ALL SELECT 5, 19, 990.25::DOUBLE UNION ALL SELECT 1000, 150, 1.5::DOUBLE").write_parquet(str(tmp_path / "part.parquet"))
+    compared(spark, tmp_path, "residual_folds")
+
+
 def test_entry_lists_everything():
     import __spark_entry__ as entry
 
